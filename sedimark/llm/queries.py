@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import line_dedup, sharding
+from sedimark.llm import line_dedup, packing, sharding, token_count
 from sedimark.session import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -20,16 +20,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences of at most 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document by its id, over 32 shards."""
     out = sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
     return out.select("doc_id", F.col("slot").cast("long").alias("slot"), "shard")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text."""
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_best_fit_packing": op2_best_fit_packing,
         "op4_sharding": op4_sharding,
+        "op5_token_counts": op5_token_counts,
     }
 
 
