@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import line_dedup, packing, sharding, token_count
+from sedimark.llm import decontaminate, jaccard, line_dedup, media, packing, sharding, token_count
 from sedimark.session import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -25,6 +25,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class under five-word Jaccard similarity of 0.8 or more, and its number of links."""
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), threshold=0.8, n=5, recall=0.999)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document by its id, over 32 shards."""
     out = sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
@@ -36,12 +41,25 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a GIF and read back."""
+    return media.media_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_sharding": op4_sharding,
         "op5_token_counts": op5_token_counts,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op9_media_columns": op9_media_columns,
     }
 
 
