@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import decontaminate, jaccard, line_dedup, media, packing, sharding, token_count
+from sedimark.llm import decontaminate, jaccard, langid, line_dedup, media, packing, quality, sharding, token_count, toxicity
 from sedimark.session import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -41,6 +41,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity, and its sentence most likely to offend."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's quality by the marginals of its lines."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every overlap of a document with a benchmark item."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -51,6 +63,12 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -58,8 +76,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_sharding": op4_sharding,
         "op5_token_counts": op5_token_counts,
+        "op6_toxicity": op6_toxicity,
+        "op7_quality": op7_quality,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_media_columns": op9_media_columns,
+        "op10_language_id": op10_language_id,
     }
 
 
