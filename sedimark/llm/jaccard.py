@@ -62,7 +62,7 @@ def gram_sets(arr: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def set_key(grams: np.ndarray) -> str:
-    """128 bits that name a set; sets without grams have none."""
+    """128 bits that name a set."""
     return hashlib.md5(grams.tobytes()).hexdigest()
 
 
@@ -86,14 +86,14 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int, family: tuple[np.ndarr
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key, chars, bands for each row; key and bands are null for a text without words."""
+    """doc_id, key, chars, bands for each row; bands are null for a text without words, and all such share a key."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _family(bands * rows)
         for batch in bounded(batches, "text"):
             sets = gram_sets(batch.column(1), n)
-            keys = [set_key(s) if len(s) else None for s in sets]
+            keys = [set_key(s) for s in sets]
             values = [band_hashes(s, bands, rows, family).view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), batch.column(2), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "key", "chars", "bands"])
 
@@ -172,13 +172,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the number of other rows linked to the row, its copies included. Candidates are found with probability ``recall``
     at least at the threshold, and more above it.
 
-    Null and empty texts, and such without words: linked to nothing, each its own class. Fewer than n words: one gram, of all words. Repeated
+    Null and empty texts, and such without words: copies of each other, as their sets are equal. Fewer than n words: one gram, of all words. Repeated
     rows: copies of each other. Null ids: such rows take part; a class of which all ids are null has a null class id.
     Very long texts: whole sets. Empty table: empty result. Other columns are not read.
     """
     bands, rows = band_plan(threshold, recall)
     signed = materialize(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
-    copies = signed.where("key is not null").groupBy("key").agg(
+    copies = signed.groupBy("key").agg(
         F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("chars").alias("chars"), F.first("bands").alias("bands"))
     copies = materialize(copies, "copies")
     met = copies.select("key", F.posexplode("bands").alias("band", "hash")).groupBy("band", "hash").agg(F.min("key").alias("a"), F.count("*").alias("n"))
@@ -202,13 +202,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = copies.select("key", "copy_id", "copies").join(joined, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = known.join(known.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select(
         "key", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    with_key = signed.select("doc_id", "key").where("key is not null").join(known, "key")
-    alone = signed.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-    return with_key.select("doc_id", "class_id", "copy_id", "n_links").unionByName(alone)
+    return signed.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "copy_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, that with the smallest id; rows linked to nothing all stay.
+    """``docs`` with one document of each class, that with the smallest id.
 
     Of rows that repeat a kept id with a linked text, one stays. Rows whose id is null stay: they cannot be named.
     """
