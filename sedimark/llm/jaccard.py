@@ -86,7 +86,7 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int, family: tuple[np.ndarr
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key, chars, bands for each row; bands are null for a text without words, and all such share a key."""
+    """doc_id, mark, key, chars, bands for each row; mark is a hash of the text; bands are null for a text without words, and all such share a key."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +95,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
             sets = gram_sets(batch.column(1), n)
             keys = [set_key(s) for s in sets]
             values = [band_hashes(s, bands, rows, family).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), batch.column(2), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "key", "chars", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(keys, pa.string()), batch.column(2), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "chars", "bands"])
 
-    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.length(f"`{text_col}`").cast("long").alias("chars"))
-    return picked.mapInArrow(run, f"doc_id {id_type}, key string, chars long, bands array<long>")
+    text = F.col(f"`{text_col}`")
+    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.length(text).cast("long").alias("chars"), F.xxhash64(text).alias("mark"))
+    return picked.mapInArrow(run, f"doc_id {id_type}, mark long, key string, chars long, bands array<long>")
 
 
 def _links(left: list[int], right: list[int], sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -164,23 +165,15 @@ def verify_block(block_rows: pa.Table, n: int, threshold: float) -> pa.Table:
     })
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
-    """doc_id, class_id, copy_id, n_links for every row of ``docs``.
-
-    Documents are linked if the Jaccard similarity of their word n-gram sets is ``threshold`` or more. ``class_id`` is
-    the smallest id of those joined by links, ``copy_id`` the smallest id among texts with the same set, ``n_links``
-    the number of other rows linked to the row, its copies included. Candidates are found with probability ``recall``
-    at least at the threshold, and more above it.
-
-    Null and empty texts, and such without words: copies of each other, as their sets are equal. Fewer than n words: one gram, of all words. Repeated
-    rows: copies of each other. Null ids: such rows take part; a class of which all ids are null has a null class id.
-    Very long texts: whole sets. Empty table: empty result. Other columns are not read.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, n: int, recall: float) -> DataFrame:
+    """doc_id, mark, class_id, copy_id, n_links for every row."""
     bands, rows = band_plan(threshold, recall)
     signed = materialize(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
     copies = signed.groupBy("key").agg(
-        F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("chars").alias("chars"), F.first("bands").alias("bands"))
-    copies = materialize(copies, "copies")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("rep"), F.count("*").alias("copies"),
+        F.max("chars").alias("chars"), F.first("bands").alias("bands"),
+    )
+    copies = materialize(copies.select("key", F.col("rep.doc_id").alias("copy_id"), F.col("rep.mark").alias("mark"), "copies", "chars", "bands"), "copies")
     met = copies.select("key", F.posexplode("bands").alias("band", "hash")).groupBy("band", "hash").agg(F.min("key").alias("a"), F.count("*").alias("n"))
     stars = (
         copies.select("key", F.posexplode("bands").alias("band", "hash"))
@@ -191,8 +184,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = groups.join(copies.drop("bands"), "key")
     blocks = members.groupBy("grp").agg(F.sum("chars").alias("_c")).select("grp", F.greatest(F.lit(1), F.ceil(F.col("_c") / BLOCK_CHARS)).cast("int").alias("n_blocks"))
     members = members.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
-    texts = docs.select(F.col(f"`{id_col}`").alias("copy_id_"), F.col(f"`{text_col}`").alias("text"))
-    full = members.join(texts, F.col("copy_id").eqNullSafe(F.col("copy_id_"))).select("grp", "key", "copies", "block", "n_blocks", "text")
+    texts = docs.select(F.col(f"`{id_col}`").alias("copy_id_"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark_"), F.col(f"`{text_col}`").alias("text"))
+    full = members.join(texts, F.col("copy_id").eqNullSafe(F.col("copy_id_")) & (F.col("mark") == F.col("mark_"))).select("grp", "key", "copies", "block", "n_blocks", "text")
     tasks = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "copies", "block", "text")
     verified = materialize(
@@ -202,14 +195,30 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = copies.select("key", "copy_id", "copies").join(joined, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = known.join(known.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select(
         "key", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "copy_id", "n_links")
+    return signed.select("doc_id", "mark", "key").join(known, "key").select("doc_id", "mark", "class_id", "copy_id", "n_links")
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
+    """doc_id, class_id, copy_id, n_links for every row of ``docs``.
+
+    Documents are linked if the Jaccard similarity of their word n-gram sets is ``threshold`` or more. ``class_id`` is
+    the smallest id of those joined by links, ``copy_id`` the smallest id among texts with the same set, ``n_links``
+    the number of other rows linked to the row, its copies included. Candidates are found with probability ``recall``
+    at least at the threshold, and more above it.
+
+    Null and empty texts, and such without words: copies of each other, as their sets are equal. Fewer than n words: one gram, of all words. Repeated
+    rows: copies of each other. Null ids: such rows take part; a class of which all ids are null has a null class id.
+    Very long texts: whole sets. Empty table: empty result. Other columns are not read.
+    """
+    return _classes(docs, id_col, text_col, threshold, n, recall).drop("mark")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
     """``docs`` with one document of each class, that with the smallest id.
 
-    Of rows that repeat a kept id with a linked text, one stays. Rows whose id is null stay: they cannot be named.
+    A row goes by its id and text, so that an id that repeats with another text is safe. Rows that repeat the id and the class
+    that are kept all stay, and so do rows whose id is null: they cannot be told apart.
     """
-    classes = jaccard_classes(docs, id_col, text_col, **options)
-    gone = classes.where("n_links > 0 and doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    classes = _classes(docs, id_col, text_col, threshold, n, recall)
+    gone = classes.where("n_links > 0 and doc_id != class_id").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("_gone")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_mark")), "left_anti")
