@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SECTIONS: tuple[str, ...] = ()
+SECTIONS: tuple[str, ...] = ("scalars",)
 
 
 def _all(what: str) -> dict:
