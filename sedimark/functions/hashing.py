@@ -29,18 +29,19 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def simhash(rows: DataFrame, by: list[str], key: str, bits: int = 64) -> DataFrame:
+def simhash(rows: DataFrame, by: list[str], key: str) -> DataFrame:
     """A 64-bit SimHash of each group's distinct keys: bit i is set if more keys have it than not.
 
-    All bit sums are partial aggregates, so no group is gathered; keys are distinct within a group by a first one.
+    Keys are distinct within a group by a first aggregate. Bits i and i + 32 are counted in the halves of one long, so
+    32 partial sums do, and no group is gathered; a group may have 2**31 keys.
     """
-    h = last64(F.col(key))
-    base = rows.where(F.col(key).isNotNull()).select(*by, key).distinct().select(*by, h.alias("_h"))
-    sums = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"_b{i}") for i in range(bits)]
-    total = base.groupBy(*by).agg(*sums)
+    base = rows.where(F.col(key).isNotNull()).select(*by, key).distinct().select(*by, last64(F.col(key)).alias("_h"))
+    lanes = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(0x100000001))).alias(f"_s{i}") for i in range(32)]
+    total = base.groupBy(*by).agg(F.count("*").alias("_n"), *lanes)
     word = F.lit(0).cast("long")
-    for i in range(bits):
-        word = word.bitwiseOR(F.when(F.col(f"_b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    for i in range(32):
+        for count, at in ((F.col(f"_s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i), (F.shiftrightunsigned(f"_s{i}", 32), i + 32)):
+            word = word.bitwiseOR(F.when(count * 2 > F.col("_n"), F.shiftleft(F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long")))
     return total.select(*by, word.alias("simhash"))
 
 

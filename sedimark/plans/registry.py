@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SECTIONS: tuple[str, ...] = ("scalars",)
+SECTIONS: tuple[str, ...] = ("scalars", "indexing")
 
 
 def _all(what: str) -> dict:
