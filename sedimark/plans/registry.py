@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SECTIONS: tuple[str, ...] = ("scalars", "indexing")
+SECTIONS: tuple[str, ...] = ("scalars", "indexing", "matching")
 
 
 def _all(what: str) -> dict:
@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return importlib.import_module("sedimark.plans.matching").flagship(spark, sf_dir)
