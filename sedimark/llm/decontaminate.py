@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sedimark.llm.words import bounded, gram_hashes, hashed_words
 
@@ -106,6 +107,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     blocks = max(1, math.ceil(n_words / BLOCK_WORDS))
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    item_arrow = to_arrow_type(item_type)
     schema = f"doc_id {id_type}, item_id {item_type.simpleString()}, doc_start long, item_start long, n_words long, n_matched long"
     out = None
     for block in range(blocks):
@@ -126,7 +128,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 if best:
                     cols = list(zip(*best.values(), strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([r for r, _ in best])), pa.array([index.ids[i] for _, i in best]), *(pa.array(cols[k], pa.int64()) for k in (1, 2, 3, 0))],
+                        [batch.column(0).take(pa.array([r for r, _ in best])), pa.array([index.ids[i] for _, i in best], item_arrow), *(pa.array(cols[k], pa.int64()) for k in (1, 2, 3, 0))],
                         ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_matched"],
                     )
 
@@ -137,5 +139,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that overlap an item; rows whose id is null stay."""
-    bad = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col("_bad"), "left_anti")
+    bad = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`") == F.col("__bad"), "left_anti")

@@ -72,8 +72,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if keep_first:
         found = found.where(~F.col("_first").eqNullSafe(F.struct("_id", "_row", "_pos")))
     drop = found.groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drop"))
-    base = docs.drop("n_lines", "n_removed").withColumns({"_row": F.xxhash64(text_col), "_id": F.col(id_col)})
-    joined = base.alias("d").join(drop.alias("x"), F.col("d._id").eqNullSafe(F.col("x._id")) & (F.col("d._row") == F.col("x._row")), "left")
+    own_id, own_row = "__line_dedup_id", "__line_dedup_row"
+    base = docs.drop("n_lines", "n_removed").withColumns({own_row: F.xxhash64(text_col), own_id: F.col(id_col)})
+    joined = base.alias("d").join(drop.alias("x"), F.col(f"d.{own_id}").eqNullSafe(F.col("x._id")) & (F.col(f"d.{own_row}") == F.col("x._row")), "left")
     lines = F.split(F.col(f"d.{text_col}"), "\n")
     gone = F.col("x._drop")
     kept = F.when(gone.isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))

@@ -78,8 +78,8 @@ def train(texts: list[str | None], toxic: np.ndarray, rounds: int = 150, rate: f
     for t in range(1, rounds + 1):
         z = b + np.bincount(s.sentence, w[inverse].sum(1), minlength=len(s.row))
         total = np.bincount(s.row, np.logaddexp(0, z), minlength=len(texts))
-        slope = balance * np.where(toxic > 0, 1 / np.maximum(np.expm1(np.maximum(total, 1e-6)), 1e-6), -1.0)
-        g = slope[s.row] / (1 + np.exp(-z))
+        slope = balance * np.where(toxic > 0, 1 / np.expm1(np.clip(total, 1e-6, 500)), -1.0)
+        g = slope[s.row] * np.exp(-np.logaddexp(0, -z))
         gw = np.bincount(flat, np.repeat(g[s.sentence], per), minlength=len(used))
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
@@ -122,7 +122,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             base = np.searchsorted(s.row, np.arange(n), "left")
             at = s.start[last] - s.start[base]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(at), pa.array(s.end[last] - s.start[base]), pa.array(1 / (1 + np.exp(-z[last])))],
+                [batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(at), pa.array(s.end[last] - s.start[base]), pa.array(np.exp(-np.logaddexp(0, -z[last])))],
                 ["doc_id", "held_out", "score", "predicted", "worst_start", "worst_end", "worst_score"],
             )
 
