@@ -141,30 +141,41 @@ def viterbi(scores: np.ndarray, row: np.ndarray, switch: float = SWITCH, block:
     return path
 
 
+def _chunks(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` characters each."""
+    lo = size = 0
+    for i, x in enumerate(texts):
+        if size and size + len(x) > most:
+            yield lo, i
+            lo, size = i, 0
+        size += len(x)
+    if texts:
+        yield lo, len(texts)
+
+
 def train(texts: list[str], langs: list[str], passes: int = 2) -> Model:
-    """Log probabilities by smoothed counts; a second pass counts only words whose span has the document's language."""
+    """Log probabilities by smoothed counts, chunk by chunk; a second pass counts only words whose span has the document's language."""
     languages = sorted(set(langs))
     y = np.array([languages.index(x) for x in langs])
-    w = words_of(texts)
-    keep = np.ones(len(w.row), bool)
     k = len(languages)
-    for turn in range(passes):
-        lang = y[w.row]
+    model: Model | None = None
+    for _ in range(passes):
+        grams, whole, used = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k)), np.zeros((len(SCRIPTS), k))
+        for lo, hi in _chunks(texts):
+            w = words_of(texts[lo:hi])
+            lang = y[lo:hi][w.row]
+            keep = viterbi(model.word_scores(w), w.row) == lang if model else np.ones(len(w.row), bool)
+            for c in range(k):
+                own = keep & (lang == c)
+                grams[:, c] += np.bincount(w.grams[own[w.gram_word]], minlength=1 << BITS)
+                whole[:, c] += np.bincount(w.whole[own], minlength=1 << BITS)
+                used[:, c] += np.bincount(w.script[own], minlength=len(SCRIPTS))
         tables = []
-        for index, owner in ((w.grams, w.gram_word), (w.whole, np.arange(len(w.row)))):
-            ok = keep[owner]
-            counts = np.stack([np.bincount(index[ok & (lang[owner] == c)], minlength=1 << BITS) for c in range(k)], 1).astype(float)
-            total = counts.sum(0)
-            smooth = 0.5 if index is w.grams else 2.0
-            logp = np.log((counts + smooth) / np.maximum(total, 1))
+        for counts, smooth in ((grams, 0.5), (whole, 2.0)):
+            logp = np.log((counts + smooth) / np.maximum(counts.sum(0), 1))
             logp[counts.sum(1) == 0] = 0
             tables.append((logp - logp.mean(1, keepdims=True)).astype(np.float32))
-        used = np.zeros((len(SCRIPTS), k))
-        np.add.at(used, (w.script[keep], lang[keep]), 1)
-        scripts = used >= np.maximum(3, 0.005 * used.sum(0))
-        model = Model(languages, *tables, scripts)
-        if turn + 1 < passes:
-            keep = viterbi(model.word_scores(w), w.row) == lang
+        model = Model(languages, *tables, used >= np.maximum(3, 0.005 * used.sum(0)))
     return model
 
 
@@ -223,5 +234,5 @@ def _spans(w: Words, path: np.ndarray, names: list[str], n: int) -> list[list[di
 def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.5) -> DataFrame:
     """``docs`` without those whose language is unknown or holds under ``min_score`` of the letters; rows whose id is null stay."""
     found = identify(docs, model, id_col, text_col)
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
