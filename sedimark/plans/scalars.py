@@ -74,11 +74,16 @@ section.expressions(
 
 _METHOD = ["p_partkey", "concat('com.app.', p_type, '.C', cast(p_size AS string)) AS cls", "CASE WHEN p_partkey % 6 = 0 THEN 'toString' WHEN p_partkey % 6 = 1 THEN '<init>' ELSE replace(p_name, ' ', '') END AS method",
            "concat('int,java.lang.String,com.app.', p_type, CASE WHEN p_size % 2 = 0 THEN ',android.os.Bundle' ELSE '' END) AS params", "CASE WHEN p_size % 3 = 0 THEN 'void' ELSE concat('com.x.', p_type) END AS returns"]
-_FRAMEWORK = F.array(F.lit("java.lang.String"), F.lit("android.os.Bundle"))
+
+
+def _framework():
+    return F.array(F.lit("java.lang.String"), F.lit("android.os.Bundle"))
+
+
 _FRAME_SQL = "['java.lang.String', 'android.os.Bundle']"
 section.expressions(
     "no_package_func", "part", _METHOD,
-    lambda: ["p_partkey", S.no_package_signature(col("cls"), col("method"), F.split("params", ","), col("returns"), _FRAMEWORK).alias("signature")],
+    lambda: ["p_partkey", S.no_package_signature(col("cls"), col("method"), F.split("params", ","), col("returns"), _framework()).alias("signature")],
     "SELECT p_partkey, concat(string_split(returns, '.')[-1], ' ', string_split(cls, '.')[-1], '.', method, '(', array_to_string(list_transform(string_split(params, ','), "
     f"lambda t: CASE WHEN list_contains({_FRAME_SQL}, t) THEN t ELSE string_split(t, '.')[-1] END), ','), ')') AS signature FROM {{input}}",
 )
@@ -87,7 +92,7 @@ _NORM = (
     f"array_to_string(list_transform(string_split(params, ','), lambda t: CASE WHEN t = 'int' OR list_contains({_FRAME_SQL}, t) THEN t ELSE 'APP_CLASS' END), ','), ')')"
 )
 section.expressions(
-    "norm_func", "part", _METHOD, lambda: ["p_partkey", S.normal_signature(col("method"), F.split("params", ","), col("returns"), _FRAMEWORK).alias("signature")],
+    "norm_func", "part", _METHOD, lambda: ["p_partkey", S.normal_signature(col("method"), F.split("params", ","), col("returns"), _framework()).alias("signature")],
     f"SELECT p_partkey, {_NORM} AS signature FROM {{input}}",
 )
 
@@ -96,7 +101,7 @@ section.expressions(
 def class_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each class as the sorted multiset of its methods' normal signatures."""
     rows = table(spark, sf_dir, "part").selectExpr(*_METHOD)
-    one = S.normal_signature(col("method"), F.split("params", ","), col("returns"), _FRAMEWORK)
+    one = S.normal_signature(col("method"), F.split("params", ","), col("returns"), _framework())
     return rows.groupBy("cls").agg(S.class_string(F.collect_list(one)).alias("class_string"))
 
 
