@@ -24,6 +24,8 @@ FILE_KINDS = {
 FRAMEWORK_PREFIXES = ("java", "javax", "org.w3c", "org.xml", "org.omg", "org.ietf", "org.apache", "org.json", "android", "junit")
 PRIMITIVES = ("boolean", "byte", "char", "short", "int", "long", "float", "double", "void")
 OBJECT_METHODS = ("clone", "equals", "finalize", " getClass", "hashCode", "notify", "notifyAll", "toString", "wait", "<init>", "<clinit>")
+# What parts a tag, a group of digits, what may stand between groups, and what bounds a version in a banner.
+TAG_PARTS, DIGIT_GROUP, BETWEEN, BEFORE, AFTER = r"[,.\-_/|\\]", r"(\d+[a-zA-Z]*)", r"[.\-_]", r"(^|v|[^,:.\w])", r"($|[^,:.\w])"
 # Signs of unfinished releases, names of unwanted repositories, words in hosts of open source.
 UNSTABLE = (r"\drc", r"rc\d", "alpha", "beta", "preview", "unstable")
 UNWANTED_REPOS = ("kernel", "qemu", "kvm", "xen", "u-boot", "uboot")
@@ -182,7 +184,7 @@ def is_oss_host(name: Column) -> Column:
 
 def version_string(tag: Column) -> Column:
     """The groups of digits, each with the letters after it, joined by dots."""
-    return F.array_join(F.regexp_extract_all(tag, F.lit(r"(\d+[a-zA-Z]*)"), F.lit(1)), ".")
+    return F.array_join(F.regexp_extract_all(tag, F.lit(DIGIT_GROUP), F.lit(1)), ".")
 
 
 def version_pattern(tag: Column) -> Column:
@@ -191,14 +193,14 @@ def version_pattern(tag: Column) -> Column:
     It is made of the digit groups of the first run of parts that hold digits, with any of ``. - _`` between
     them, and bounds that are no version's.
     """
-    parts = F.split(tag, r"[,.\-_/|\\]")
+    parts = F.split(tag, TAG_PARTS)
     state = F.aggregate(
         parts,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("got")),
-        lambda a, p: F.when((a["at"] < 2) & p.rlike(r"\d"), F.struct(F.lit(1).alias("at"), F.concat(a["got"], F.regexp_extract_all(p, F.lit(r"(\d+[a-zA-Z]*)"), F.lit(1))).alias("got")))
+        lambda a, p: F.when((a["at"] < 2) & p.rlike(r"\d"), F.struct(F.lit(1).alias("at"), F.concat(a["got"], F.regexp_extract_all(p, F.lit(DIGIT_GROUP), F.lit(1))).alias("got")))
         .when(a["at"] == 1, F.struct(F.lit(2).alias("at"), a["got"].alias("got"))).otherwise(a),
     )
-    return F.concat(F.lit(r"(^|v|[^,:.\w])"), F.array_join(state["got"], r"[.\-_]"), F.lit(r"($|[^,:.\w])"))
+    return F.concat(F.lit(BEFORE), F.array_join(state["got"], BETWEEN), F.lit(AFTER))
 
 
 def is_version_feature(tag: Column, feature: Column) -> Column:
