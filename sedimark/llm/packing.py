@@ -23,8 +23,8 @@ from sedimark.llm.byte_bpe import byte_bpe, crc32_of
 from sedimark.llm.words import bounded
 from sedimark.session import materialize
 
-#: Pieces ranked together by one window group at most, in the mean.
-RANK_ROWS = 20_000
+#: Pieces ranked together by one window group, in the mean: at least so many, or the root of their number.
+RANK_ROWS = 500
 
 
 @dataclass
@@ -232,9 +232,13 @@ def place(pieces: DataFrame, capacity: int, groups: int = 64) -> DataFrame:
     # at most `capacity` rows, by construction
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = placement(plan(histogram, capacity, groups))
-    salts = max(1, math.ceil(sum(histogram.values()) / RANK_ROWS))
+    total = sum(histogram.values())
+    each = max(RANK_ROWS, math.isqrt(total))
+    # a length's pieces are dealt over as many ranking groups as they need
+    salts = ",".join(str(-(-histogram.get(length, 1) // each)) for length in range(1, capacity + 1))
     key = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)))
+    mine = F.element_at(F.split(F.lit(salts), ","), F.col("length").cast("int")).cast("long")
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key), mine))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     first = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     own = Window.partitionBy("length", "_salt").orderBy(*key)
