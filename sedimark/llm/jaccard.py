@@ -25,6 +25,8 @@ from sedimark.session import materialize
 
 #: Characters of text in one block of a large group, in the mean; a task holds two blocks.
 BLOCK_CHARS = 4_000_000
+#: Rows of (group, number of blocks) that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Rows of MinHash values beyond which more rows to a band aren't considered.
 MOST_HASHES = 160
 
@@ -182,8 +184,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, n: i
     )
     groups = materialize(connected_components(stars), "groups").withColumnsRenamed({"node": "key", "component": "grp"})
     members = groups.join(copies.drop("bands"), "key")
-    blocks = members.groupBy("grp").agg(F.sum("chars").alias("_c")).select("grp", F.greatest(F.lit(1), F.ceil(F.col("_c") / BLOCK_CHARS)).cast("int").alias("n_blocks"))
-    members = members.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
+    blocks = members.groupBy("grp").agg(F.ceil(F.sum("chars") / BLOCK_CHARS).cast("int").alias("n_blocks")).where("n_blocks > 1")
+    large = materialize(blocks, "large-groups")
+    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    members = members.join(large, "grp", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     texts = docs.select(F.col(f"`{id_col}`").alias("copy_id_"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark_"), F.col(f"`{text_col}`").alias("text"))
     full = members.join(texts, F.col("copy_id").eqNullSafe(F.col("copy_id_")) & (F.col("mark") == F.col("mark_"))).select("grp", "key", "copies", "block", "n_blocks", "text")
     tasks = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
@@ -220,5 +226,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     that are kept all stay, and so do rows whose id is null: they cannot be told apart.
     """
     classes = _classes(docs, id_col, text_col, threshold, n, recall)
-    gone = classes.where("n_links > 0 and doc_id != class_id").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("_gone")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_mark")), "left_anti")
+    gone = classes.where("n_links > 0 and doc_id != class_id").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("__gone")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__mark")), "left_anti")
