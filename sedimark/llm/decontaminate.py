@@ -90,6 +90,29 @@ def overlap(equal: np.ndarray, penalty: int = 2) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def _best_overlaps(index: SeedIndex, texts: pa.Array, min_words: int, whole: float) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """By (row, item): matches, start in the text, start in the item, words."""
+    words, first = hashed_words(_lower(texts))
+    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    for r, i, at in sorted(index.hits(words, first)):
+        own, item = words[first[r] : first[r + 1]], index.words[index.rows[i] : index.rows[i + 1]]
+        lo, hi = max(0, -at), min(len(item), len(own) - at)
+        s, e, n = overlap(own[at + lo : at + hi] == item[lo:hi])
+        if n >= min(min_words, math.ceil(whole * len(item))) and n > best.get((r, i), (0,))[0]:
+            best[r, i] = n, at + lo + s, lo + s, e - s
+    return best
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[list, list]]:
+    """Ids and texts of the items, in blocks of about BLOCK_WORDS words."""
+    items = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
+    n_words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    blocks = max(1, math.ceil(n_words / BLOCK_WORDS))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
+        yield [r["id"] for r in rows], [r["text"] for r in rows]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: Sequence[str] = MASKS, min_words: int = 13, whole: float = 0.8) -> DataFrame:
     """One row per (text, item) that overlap: doc_id, item_id, doc_start, item_start, n_words, n_matched.
 
@@ -102,29 +125,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     stay null. Very long texts: whole. Empty tables: empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
-    n_words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, math.ceil(n_words / BLOCK_WORDS))
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     item_arrow = to_arrow_type(item_type)
     schema = f"doc_id {id_type}, item_id {item_type.simpleString()}, doc_start long, item_start long, n_words long, n_matched long"
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_WORDS words
-        sent = spark.sparkContext.broadcast(([r["id"] for r in rows], [r["text"] for r in rows]))
+    for block in _blocks(benchmark, item_col, item_text_col):
+        sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = SeedIndex(*sent.value, masks)
             for batch in bounded(batches, "text"):
-                words, first = hashed_words(_lower(batch.column(1)))
-                best: dict[tuple[int, int], tuple] = {}
-                for r, i, at in sorted(index.hits(words, first)):
-                    own, item = words[first[r] : first[r + 1]], index.words[index.rows[i] : index.rows[i + 1]]
-                    lo, hi = max(0, -at), min(len(item), len(own) - at)
-                    s, e, n = overlap(own[at + lo : at + hi] == item[lo:hi])
-                    if n >= min(min_words, math.ceil(whole * len(item))) and n > best.get((r, i), (0,))[0]:
-                        best[r, i] = n, at + lo + s, lo + s, e - s
+                best = _best_overlaps(index, batch.column(1), min_words, whole)
                 if best:
                     cols = list(zip(*best.values(), strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -137,7 +149,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that overlap an item; rows whose id is null stay."""
-    bad = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col("__bad"), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: Sequence[str] = MASKS, min_words: int = 13, whole: float = 0.8) -> DataFrame:
+    """``docs`` without the rows that overlap an item. Nothing is shuffled; each block of items is one more filter of the rows.
+
+    Edge cases are those of ``find_leaks``; every row is judged by itself, whatever its id.
+    """
+    at = docs.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text_col):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = SeedIndex(*sent.value, masks)
+            for batch in bounded(batches, text_col):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r for r, _ in _best_overlaps(index, batch.column(at), min_words, whole)]] = False
+                fit = batch.filter(pa.array(keep))
+                if fit.num_rows:
+                    yield fit
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
