@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Classes are few by contract; more are refused.
+MOST_CLASSES = 1000
+
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; null ids have none."""
     return (F.crc32(F.col(f"`{id_col}`").cast("string")) % folds).cast("int")
 
 
-def sample(rows: DataFrame, class_col: str, per_class: int, id_col: str) -> list:
-    """At most ``per_class`` rows of each class, by a hash of the id; classes are few by contract.
+def sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, class_col: str, per_class: int) -> list:
+    """Rows (id, text, class) of at most ``per_class`` ids of each class, by a hash of the id.
 
-    Rows of the hash order's end are dropped map-side, so no task gathers a class.
+    ``known`` has the ids and classes. Ids are picked from it alone, so texts are read once, for the picked ids. Texts that are
+    null are left out; of an id that repeats, its first text in order is taken.
     """
-    classes = [r[0] for r in rows.select(class_col).where(F.col(class_col).isNotNull()).distinct().limit(1001).collect()]
-    if len(classes) > 1000:
-        raise ValueError(f"{class_col} has over 1000 classes")
-    out: list = []
-    for c in sorted(classes):
-        own = rows.where(F.col(class_col) == c)
-        picked = own.select(id_col, F.xxhash64(id_col, F.lit(7)).alias("_order")).orderBy("_order", id_col).limit(per_class)
-        out += own.join(F.broadcast(picked.select(id_col).distinct()), id_col, "left_semi").limit(per_class).collect()
-    return out
+    known = known.select(F.col(id_col).alias("_id"), F.col(class_col).alias("_class")).where("_class IS NOT NULL AND _id IS NOT NULL")
+    classes = [r[0] for r in known.select("_class").distinct().limit(MOST_CLASSES + 1).collect()]
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"{class_col} has over {MOST_CLASSES} classes")
+    if not classes:
+        return []
+    order = F.xxhash64("_id", F.lit(7))
+    parts = [known.where(F.col("_class") == c).orderBy(order, "_id").limit(per_class) for c in sorted(classes)]
+    picked = reduce(DataFrame.unionByName, parts).distinct()
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL")
+    found = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_class").agg(F.min("_text").alias("_text"))  # per_class rows a class
+    return sorted(((r["_id"], r["_text"], r["_class"]) for r in found.collect()), key=lambda r: (str(r[0]), r[1]))

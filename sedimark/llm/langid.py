@@ -181,9 +181,18 @@ def train(texts: list[str], langs: list[str], passes: int = 2) -> Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> Model | None:
     """A model from a bounded sample of the documents with a language outside the held-out fold; None if there are none."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, folds) != held_out))
-    got = sample(rows.select(id_col, text_col, lang_col), lang_col, per_class, id_col)
-    return train([r[text_col] for r in got], [r[lang_col] for r in got]) if got else None
+    known = docs.select(id_col, lang_col).where(fold(id_col, folds) != held_out)
+    got = sample(docs, known, id_col, text_col, lang_col, per_class)
+    return train([t for _, t, _ in got], [c for _, _, c in got]) if got else None
+
+
+def _shares(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray | None, Words | None]:
+    """Letters of each text in each language, and the words' languages; one column of zeros without a model."""
+    if model is None:
+        return np.zeros((len(texts), 1)), None, None
+    w, k = words_of(texts), len(model.languages)
+    path = viterbi(model.word_scores(w), w.row)
+    return np.bincount(w.row * k + path, w.size, minlength=len(texts) * k).reshape(len(texts), k), path, w
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, with_spans: bool = False) -> DataFrame:
@@ -202,11 +211,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for batch in bounded(batches, "text", 1 << 19):
             n = batch.num_rows
             names = own.languages if own else []
-            share, path, w = np.zeros((n, len(names) or 1)), None, None
-            if own:
-                w = words_of(batch.column(2).to_pylist())
-                path = viterbi(own.word_scores(w), w.row)
-                share = np.bincount(w.row * len(names) + path, w.size, minlength=n * len(names)).reshape(n, -1)
+            share, path, w = _shares(own, batch.column(2).to_pylist())
             total = share.sum(1)
             pick = share.argmax(1)
             lang = [names[k] if t else UNKNOWN for k, t in zip(pick.tolist(), total.tolist(), strict=True)]
@@ -231,8 +236,20 @@ def _spans(w: Words, path: np.ndarray, names: list[str], n: int) -> list[list[di
     return out
 
 
-def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language is unknown or holds under ``min_score`` of the letters; rows whose id is null stay."""
-    found = identify(docs, model, id_col, text_col)
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language is unknown or holds under ``min_score`` of the letters. Nothing is shuffled.
+
+    Edge cases are those of ``identify``; every row is judged by itself, whatever its id.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, text_col, 1 << 19):
+            share = _shares(sent.value, batch.column(at).to_pylist())[0]
+            total = share.sum(1)
+            fit = batch.filter(pa.array((total > 0) & (share.max(1) >= min_score * total)))
+            if fit.num_rows:
+                yield fit
+
+    return docs.mapInArrow(run, docs.schema)

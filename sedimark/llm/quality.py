@@ -210,10 +210,10 @@ def _calibrate(mean: np.ndarray, quality: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> Model:
     """A model from a bounded sample of the labelled rows outside the held-out fold."""
     known = labels.where(F.col(label_col).isNotNull() & (fold(id_col, folds) != held_out)).select(id_col, label_col)
-    rows = sample(docs.select(id_col, text_col).join(known, id_col).where(F.col(text_col).isNotNull()), label_col, per_class, id_col)
-    if len({r[label_col] for r in rows}) < 2:
+    rows = sample(docs, known, id_col, text_col, label_col, per_class)
+    if len({c for _, _, c in rows}) < 2:
         return Model(np.zeros(3 * line_features(pa.array([""]))[0].shape[1]), np.zeros((2, 2)), 0.0, 0.0)
-    return train([r[text_col] for r in rows], np.array([r[label_col] for r in rows]))
+    return train([t for _, t, _ in rows], np.array([c for _, _, c in rows]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, with_lines: bool = False) -> DataFrame:
