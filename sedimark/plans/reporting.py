@@ -183,7 +183,7 @@ def repo_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q("WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_quantity > 49 AND b.l_quantity > 49), r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node) SELECT node, min(g) AS \"group\" FROM r GROUP BY 1")
 def app_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups merged over all libraries of an app."""
-    m = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_orderkey", "l_suppkey").distinct()
+    m = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     first = m.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("a"))
     pairs = m.join(first, "l_orderkey").select("a", col("l_suppkey").alias("b")).distinct()
     return V.group_ids(m.select(col("l_suppkey").alias("node")), pairs, "node")
