@@ -175,7 +175,7 @@ _LINK = "SELECT DISTINCT least(o_custkey, o_custkey * 7 % 1500) AS a, greatest(o
 @q(f"WITH RECURSIVE l AS ({_LINK}), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT c_custkey AS node, c_custkey AS g FROM customer UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node) SELECT node AS c_custkey, min(g) AS \"group\" FROM r WHERE node IN (SELECT c_custkey FROM customer) GROUP BY 1")
 def repo_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components joined into groups by pairs."""
-    pairs = table(spark, sf_dir, "orders").where("o_custkey % 5 = 0").select(F.least(col("o_custkey"), col("o_custkey") * 7 % 1500).alias("a"), F.greatest(col("o_custkey"), col("o_custkey") * 7 % 1500).alias("b")).distinct()
+    pairs = table(spark, sf_dir, "orders").select(F.least(col("o_custkey"), col("o_custkey") * 7 % 1500).alias("a"), F.greatest(col("o_custkey"), col("o_custkey") * 7 % 1500).alias("b")).distinct()
     known = table(spark, sf_dir, "customer").select("c_custkey")
     return V.group_ids(known, pairs, "c_custkey")
 

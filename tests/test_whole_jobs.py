@@ -34,3 +34,12 @@ def test_app_groups_takes_every_row(spark, tmp_path):
     want = components({s for _, s, _ in rows}, [(a, b) for o, a, _ in rows for p, b, _ in rows if o == p])
     assert {r.node: r.group for r in QUERIES["app_groups"](spark, sf).collect()} == want
     assert set(want.values()) == {10, 40, 60}
+
+
+def test_repo_groups_links_every_order(spark, tmp_path):
+    customers = [(c,) for c in range(1, 60)]
+    orders = [(c,) for c in range(1, 60) if c % 3]
+    sf = tables(spark, tmp_path, customer=("c_custkey long", customers), orders=("o_custkey long", orders))
+    want = components({c for c, in customers}, [(c, c * 7 % 1500) for c, in orders])
+    assert {r.c_custkey: r.group for r in QUERIES["repo_groups"](spark, sf).collect()} == want
+    assert want[7] == 1 and want[14] == 2
