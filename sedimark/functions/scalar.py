@@ -70,7 +70,7 @@ def file_kind(path: Column) -> Column:
 
 def is_ascii(s: Column) -> Column:
     """Every character from code point 21 to 127."""
-    return s.rlike(r"^[\x15-\x7F]*$")
+    return s.rlike(r"^[\x15-\x7F]*\z")  # $ would let a line end at the end pass
 
 
 def is_feature_string(s: Column, min_length: int = 3) -> Column:

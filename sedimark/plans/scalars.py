@@ -36,9 +36,9 @@ section.expressions(
     "(SELECT doc_id, regexp_replace(replace(text, chr(13), ''), '\\n$', '') AS t FROM {input}))",
 )
 section.expressions(
-    "ascii_filter", "conversations", ["conv_id", "turn", "substr(text, 1, turn + 2) AS text"],
+    "ascii_filter", "conversations", ["conv_id", "turn", "text"],
     lambda: ["conv_id", "turn", S.is_ascii(col("text")).alias("ascii"), S.is_feature_string(col("text")).alias("is_feature")],
-    "SELECT conv_id, turn, regexp_full_match(text, '[\\x15-\\x7F]*') AS ascii, regexp_full_match(text, '[\\x15-\\x7F]*') AND length(text) >= 3 AS is_feature FROM {input}",
+    "SELECT conv_id, turn, regexp_full_match(text, '[\\x15-\\x7F]*') AS ascii, regexp_full_match(text, '[\\x15-\\x7F]*') AND length(text) >= 3 AS is_feature FROM (SELECT conv_id, turn, substr(text, 1, turn + 2) AS text FROM conversations)",
 )
 
 _FUNC = ["p_partkey", "concat(CASE cast(p_partkey % 5 AS int) WHEN 0 THEN 'std::' WHEN 1 THEN 'a::b::' WHEN 2 THEN 'ns::' ELSE '' END, replace(p_name, ' ', '_')) AS bare",

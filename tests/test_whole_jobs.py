@@ -43,3 +43,11 @@ def test_repo_groups_links_every_order(spark, tmp_path):
     want = components({c for c, in customers}, [(c, c * 7 % 1500) for c, in orders])
     assert {r.c_custkey: r.group for r in QUERIES["repo_groups"](spark, sf).collect()} == want
     assert want[7] == 1 and want[14] == 2
+
+
+def test_ascii_filter_judges_whole_texts(spark, tmp_path):
+    texts = ["plain words, then é", "all of it plain", "ab", "abc", "", "é", "line end at the end\n", "tab\tinside", "\x15\x7f~", None]
+    sf = tables(spark, tmp_path, conversations=("conv_id long, turn int, text string", [(i, 1, t) for i, t in enumerate(texts)]))
+    plain = [t if t is None else all(0x15 <= ord(c) <= 0x7F for c in t) for t in texts]
+    got = {r.conv_id: (r.ascii, r.is_feature) for r in QUERIES["ascii_filter"](spark, sf).collect()}
+    assert got == {i: (p, p if p is None else p and len(texts[i]) >= 3) for i, p in enumerate(plain)}
