@@ -268,12 +268,12 @@ _NEAR_SQL = f"""{_SIMHASH_SQL}, near AS (SELECT DISTINCT a.doc_id AS a, b.doc_id
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = features(spark, sf_dir).select(col("token").alias("child_id"), "doc_id").join(_simhashes(spark, sf_dir), "doc_id").withColumnRenamed("doc_id", "parent_id")
-    return I.near_pairs_by_child(e, "simhash", 5, 60)
+    return I.near_pairs_by_child(e, "simhash", 5)
 
 
 @q(f"WITH {_NEAR_SQL} SELECT a, b, distance FROM near")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that share a rare feature and differ in five bits at most."""
+    """Files that share a feature of at most 2000 files and differ in five bits at most."""
     return _near(spark, sf_dir)
 
 
