@@ -50,7 +50,22 @@ def running_refcnt(events: DataFrame, child: str, parent: str) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is now into a parquet table under ``path``, with its checkpoint beside it, and read that."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/data").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
+    """Run a stream over all there is now into a parquet table under ``path``, with its checkpoint beside it, and read that.
+
+    In append mode the groups that the watermark leaves open aren't emitted; in complete mode each batch writes all
+    groups, and the last batch's table is read.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode != "complete":
+        writer.format("parquet").option("path", f"{path}/data").start().awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
+    batches: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/{number}")
+        batches.append(number)
+
+    writer.foreachBatch(put).start().awaitTermination()
+    if not batches:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data/{batches[-1]}")
