@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sedimark.llm.words import bounded, gram_hashes, hashed_words
 
-#: Seeds of weight 6 and 7 over 9 and 11 words; between them, a window with one substitution anywhere is met by one.
+#: Seeds of weight 6 and 7 over 9 and 11 words; between them, ten words in a row with one substitution anywhere are met.
 MASKS = ("110110101", "101101011", "11010011011")
 #: Words of test items in one broadcast block; more items make more blocks, each met with all texts.
 BLOCK_WORDS = 500_000
@@ -41,16 +41,21 @@ def _lower(arr: pa.Array) -> pa.Array:
 class SeedIndex:
     """Sorted window hashes of a block of test items, one table for each seed."""
 
-    def __init__(self, ids: list, texts: list[str | None], masks: Sequence[str]):
+    def __init__(self, ids: list, texts: list[str | None], masks: Sequence[str], whole: float):
         self.ids = ids
         self.words, self.rows = hashed_words(_lower(pa.array(texts, pa.large_string())))
         item = np.repeat(np.arange(len(ids)), np.diff(self.rows))
         seeds = [offsets(m) for m in masks]
         span = min(o[-1] for o in seeds) + 1
-        # items shorter than every seed: all their words are one seed of that length
-        short = sorted({int(n) for n in np.diff(self.rows) if 0 < n < span})
+        # items no longer than the seeds: all their words, or all but any one if so many may count, are seeds of that length
+        seeds_of = [(o, None) for o in seeds]
+        for n in sorted({int(n) for n in np.diff(self.rows) if 0 < n <= span}):
+            if math.ceil(whole * n) < n and n > 2:
+                seeds_of += [(tuple(range(n - 1)), n), *((tuple(i for i in range(n) if i != k), n) for k in range(1, n - 1))]
+            elif n < span:
+                seeds_of.append((tuple(range(n)), n))
         self.tables = []
-        for o, exact in [(o, None) for o in seeds] + [(tuple(range(n)), n) for n in short]:
+        for o, exact in seeds_of:
             h = gram_hashes(self.words, o)
             at = np.flatnonzero(item[: len(h)] == item[o[-1] : o[-1] + len(h)])
             if exact:
@@ -120,8 +125,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     counts if it matches at least ``min_words`` words, or ``whole`` of the item's where that is fewer. Of several in a text, the one with
     most matches is given, the first of equals.
 
-    Null and empty texts or items, and items without words: no overlap. Items shorter than the seeds: only when all
-    their words stand together. Repeated rows: each row of ``docs`` gives its own; an item given twice gives two. Null ids
+    Null and empty texts or items, and items without words: no overlap. Items of up to nine words: with one
+    word substituted at most, and only if ``whole`` allows one. Repeated rows: each row of ``docs`` gives its own; an item given twice gives two. Null ids
     stay null. Very long texts: whole. Empty tables: empty result. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -134,7 +139,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex(*sent.value, masks)
+            index = SeedIndex(*sent.value, masks, whole)
             for batch in bounded(batches, "text"):
                 best = _best_overlaps(index, batch.column(1), min_words, whole)
                 if best:
@@ -159,7 +164,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex(*sent.value, masks)
+            index = SeedIndex(*sent.value, masks, whole)
             for batch in bounded(batches, text_col):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r for r, _ in _best_overlaps(index, batch.column(at), min_words, whole)]] = False
