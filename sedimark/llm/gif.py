@@ -1,19 +1,15 @@
-"""GIF files: writing and reading code streams, palettes, timed frames.
-
-The reader knows every form of the format's code streams; the writer uses literal codes with regular resets, a valid
-stream that can be made and read by whole arrays.
-"""
+"""GIF files: writing and reading compressed code streams, palettes, timed frames with disposal and transparency."""
 
 from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
-#: Literals between two reset codes: after 254 the codes would grow from 9 to 10 bits.
-_LITERALS = 254
-_CLEAR, _END = 256, 257
+#: Fixed values of the format: entries of a code table, bits of its widest code, the largest block.
+TABLE, WIDEST, BLOCK = 4096, 12, 255
 
 
 @dataclass
@@ -29,47 +25,86 @@ class Frame:
     transparent: int | None
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """9-bit codes, lowest bit first."""
-    bits = (codes[:, None] >> np.arange(9, dtype=np.uint16)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+@lru_cache(maxsize=8)
+def _schedule(least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Width of the k-th code after a reset, and its first bit, till the table is full: each code but the first adds an entry."""
+    first_free = (1 << least) + 2
+    k = np.arange(TABLE - first_free + 2)
+    entries = np.maximum(first_free + k - 1, first_free)  # entries known when code k is read
+    width = np.clip(np.ceil(np.log2(entries + 1)).astype(int), least + 1, WIDEST)
+    return width, np.concatenate([[0], np.cumsum(width)[:-1]])
+
+
+def bits_of(n_colours: int) -> int:
+    """Bits to a sample of a palette, 2 at least."""
+    return max(2, (n_colours - 1).bit_length())
 
 
-def encode_samples(samples: np.ndarray) -> bytes:
-    """The code stream of 8-bit samples."""
-    n = len(samples)
-    groups = -(-n // _LITERALS)
-    codes = np.full(groups * (_LITERALS + 1), _END, np.uint16)
-    view = codes.reshape(groups, _LITERALS + 1)
-    view[:, 0] = _CLEAR
-    body = np.full(groups * _LITERALS, _END, np.uint16)
-    body[:n] = samples
-    view[:, 1:] = body.reshape(groups, _LITERALS)
-    return _pack(np.append(codes[: n + groups], np.uint16(_END)))
+def encode_samples(samples: bytes, least: int) -> bytes:
+    """The code stream of samples below 2**least: the longest known strings, with a reset whenever the table is full."""
+    clear = 1 << least
+    runs: list[list[int]] = [[clear]]
+    if samples:
+        room = TABLE - clear - 2
+        table: dict[int, int] = {}
+        run: list[int] = []
+        put, find = run.append, table.get
+        code = samples[0]
+        for s in samples[1:]:
+            key = code << 8 | s
+            known = find(key)
+            if known is not None:
+                code = known
+                continue
+            put(code)
+            code = s
+            if len(table) < room:
+                table[key] = clear + 2 + len(table)
+            else:
+                put(clear)
+                runs.append(run)
+                table, run = {}, []
+                put, find = run.append, table.get
+        put(code)
+        runs.append(run)
+    runs[-1].append(clear + 1)
+    codes = np.concatenate([np.array(r, np.uint16) for r in runs])
+    widths = np.concatenate([_schedule(least)[0][: len(r)] for r in runs])
+    places = np.arange(WIDEST)
+    bits = (codes[:, None] >> places.astype(np.uint16)) & 1
+    return np.packbits(bits[places < widths[:, None]].astype(np.uint8), bitorder="little").tobytes()
 
 
 def _blocks(data: bytes) -> bytes:
-    whole = len(data) // 255
-    head = np.empty((whole, 256), np.uint8)
-    head[:, 0] = 255
-    head[:, 1:] = np.frombuffer(data, np.uint8, whole * 255).reshape(whole, 255)
-    rest = data[whole * 255 :]
+    whole = len(data) // BLOCK
+    head = np.empty((whole, BLOCK + 1), np.uint8)
+    head[:, 0] = BLOCK
+    head[:, 1:] = np.frombuffer(data, np.uint8, whole * BLOCK).reshape(whole, BLOCK)
+    rest = data[whole * BLOCK :]
     return head.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def write_gif(frames: list[Frame], width: int, height: int, background: int = 0) -> bytes:
-    """A GIF89a file with a 256-colour palette; the first frame's palette is the global one."""
-    palette = frames[0].palette
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, background, 0), palette.astype(np.uint8).tobytes()]
+def _table(palette: np.ndarray) -> tuple[int, bytes]:
+    """The size bits of a colour table, and the table filled up with black."""
+    bits = max(1, (len(palette) - 1).bit_length())
+    return bits - 1, palette.astype(np.uint8).tobytes() + b"\0" * (3 * ((1 << bits) - len(palette)))
+
+
+def write_gif(frames: list[Frame], width: int, height: int, shared: np.ndarray | None = None, comment: bytes = b"") -> bytes:
+    """A GIF89a file. A frame whose palette isn't the ``shared`` one brings its own."""
+    flags, colours = _table(shared) if shared is not None else (0, b"")
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0x70 | flags | 0x80 * (shared is not None), 0, 0), colours]
+    if comment:
+        out += [b"\x21\xfe", _blocks(comment)]
     for f in frames:
         h, w = f.samples.shape
-        flags = (f.disposal & 7) << 2 | (f.transparent is not None)
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", flags, f.delay_ms // 10, f.transparent or 0) + b"\0")
-        own = f.palette is not palette and not np.array_equal(f.palette, palette)
-        out.append(b"\x2c" + struct.pack("<HHHHB", f.left, f.top, w, h, 0x87 if own else 0))
-        if own:
-            out.append(f.palette.astype(np.uint8).tobytes())
-        out += [b"\x08", _blocks(encode_samples(f.samples.ravel()))]
+        how = (f.disposal & 7) << 2 | (f.transparent is not None)
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", how, f.delay_ms // 10, f.transparent or 0) + b"\0")
+        own = shared is None or not np.array_equal(f.palette, shared)
+        flags, colours = _table(f.palette) if own else (0, b"")
+        out.append(b"\x2c" + struct.pack("<HHHHB", f.left, f.top, w, h, flags | 0x80 * own) + colours)
+        least = bits_of(max(len(f.palette), 1 + (f.transparent or 0)))
+        out += [bytes([least]), _blocks(encode_samples(f.samples.tobytes(), least))]
     return b"".join(out) + b"\x3b"
 
 
@@ -80,102 +115,81 @@ def _take(bits: np.ndarray, at: np.ndarray, width: int | np.ndarray) -> np.ndarr
     return (word >> (at & 7).astype(np.uint32)) & ((np.uint32(1) << np.asarray(width, np.uint32)) - np.uint32(1))
 
 
-def _schedule(least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Width of the k-th code after a reset, and its first bit: each code but the first adds a table entry, up to 4096."""
-    first_free = (1 << least) + 2
-    k = np.arange(4096 - first_free + 2)
-    entries = np.maximum(first_free + k - 1, first_free)  # entries known when code k is read
-    width = np.clip(np.ceil(np.log2(entries + 1)).astype(int), least + 1, 12)
-    # the reader widens when the next entry to be added no longer fits
-    return width, np.concatenate([[0], np.cumsum(width)[:-1]])
-
-
-_SCHEDULES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _expand(codes: np.ndarray, least: int) -> np.ndarray:
-    """The samples of the codes between two resets."""
+def _expand(codes: list[int], least: int) -> bytes:
+    """The samples of the codes between two resets; each code but the first adds a string to the table, till it is full."""
     clear = 1 << least
-    if not (codes >= clear).any():
-        return codes.astype(np.uint8)
-    table: list[bytes] = [bytes([i]) for i in range(clear)] + [b"", b""]
-    out, before = [], b""
-    for c in codes.tolist():
-        if c < len(table):
+    if not codes:
+        return b""
+    if codes[0] >= clear:
+        raise ValueError("broken code stream")
+    table = [bytes([i]) for i in range(clear)] + [b"", b""]
+    before = table[codes[0]]
+    out = [before]
+    put, add = out.append, table.append
+    growing = TABLE - clear - 1  # codes up to the one that fills the table
+    for c in codes[1:growing]:
+        try:
             now = table[c]
-        elif c == len(table) and before:
+        except IndexError:
+            if c > len(table):
+                raise ValueError("broken code stream") from None
             now = before + before[:1]
-        else:
-            raise ValueError("broken code stream")
-        if before and len(table) < 4096:
-            table.append(before + now[:1])
-        out.append(now)
+        add(before + now[:1])
+        put(now)
         before = now
-    return np.frombuffer(b"".join(out), np.uint8)
+    out += [table[c] for c in codes[growing:]]
+    return b"".join(out)
 
 
 def decode_samples(data: bytes, least: int, n: int) -> np.ndarray:
     """``n`` samples of a code stream with ``least`` bits to a sample; missing ones are 0.
 
-    Code widths after a reset follow from the number of codes alone, so a stretch of codes is read at once, and so are
-    stretches of one length that follow each other.
+    Code widths after a reset follow from the number of codes alone, so all codes up to the next reset are taken out at once.
     """
-    width, start = _SCHEDULES.setdefault(least, _schedule(least))
+    width, start = _schedule(least)
     clear, end = 1 << least, (1 << least) + 1
     bits = np.frombuffer(data + b"\0" * 8, np.uint8)
+    full = int(start[-1] + width[-1])
     total, at, out, have = len(data) * 8, 0, [], 0
     while have < n and at + least + 1 <= total:
         fit = int(np.searchsorted(start + width, total - at, "right"))
         codes = _take(bits, at + start[:fit], width[:fit])
-        if fit == len(start) and not ((codes == clear) | (codes == end)).any():  # a full table: 12 bits from here on
-            more = np.arange((total - at - int(start[-1] + width[-1])) // 12)
-            codes = np.concatenate([codes, _take(bits, at + int(start[-1] + width[-1]) + 12 * more, 12)])
+        if fit == len(start) and not ((codes == clear) | (codes == end)).any():  # a full table: codes of one width from here on
+            more = np.arange((total - at - full) // WIDEST)
+            codes = np.concatenate([codes, _take(bits, at + full + WIDEST * more, WIDEST)])
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else len(codes)
-        part = _expand(codes[:stop], least)
-        out.append(part)
-        have += len(part)
+        out.append(_expand(codes[:stop].tolist(), least))
+        have += len(out[-1])
         if stop == len(codes) or codes[stop] == end:
             break
-        used = int(start[stop] + width[stop]) if stop < len(start) else int(start[-1] + width[-1]) + 12 * (stop - len(start) + 1)
-        at += used
-        # as many like stretches as follow: `stop` literals and a reset
-        if stop and stop < len(start) and not (codes[:stop] >= clear).any():
-            times = min((total - at) // used, -(-(n - have) // stop))
-            if times > 1:
-                grid = _take(bits, at + np.arange(times)[:, None] * used + start[None, : stop + 1], width[None, : stop + 1])
-                good = (grid[:, stop] == clear) & (grid[:, :stop] < clear).all(1)
-                same = times if good.all() else int(np.argmin(good))
-                if same:
-                    out.append(grid[:same, :stop].astype(np.uint8).ravel())
-                    have += same * stop
-                    at += same * used
-    samples = np.concatenate(out)[:n] if out else np.empty(0, np.uint8)
+        at += int(start[stop] + width[stop]) if stop < len(start) else full + WIDEST * (stop - len(start) + 1)
+    samples = np.frombuffer(b"".join(out), np.uint8)[:n]
     return np.concatenate([samples, np.zeros(n - len(samples), np.uint8)]) if len(samples) < n else samples
 
 
 def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
-    raw = np.frombuffer(data, np.uint8)
-    # runs of full blocks at once
-    n = 0
-    whole = (len(data) - at) // 256
-    if whole > 4:
-        heads = raw[at : at + whole * 256 : 256]
-        n = whole if (heads == 255).all() else int(np.argmin(heads == 255))
-    parts = [raw[at : at + n * 256].reshape(n, 256)[:, 1:].tobytes()] if n else []
-    at += n * 256
+    parts = []
     while (size := data[at]) != 0:
         parts.append(data[at + 1 : at + 1 + size])
         at += 1 + size
     return b"".join(parts), at + 1
 
 
-def read_gif(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Width, height and frames as stored."""
+@dataclass
+class Gif:
+    width: int
+    height: int
+    frames: list[Frame]
+    comment: bytes
+
+
+def read_gif(data: bytes) -> Gif:
+    """Size, frames as stored, and the comments of a file."""
     if data[:3] != b"GIF":
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, shared = 13, np.zeros((0, 3), np.uint8)
+    at, shared, comment = 13, np.zeros((0, 3), np.uint8), b""
     if flags & 0x80:
         n = 2 << (flags & 7)
         shared = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
@@ -187,7 +201,9 @@ def read_gif(data: bytes) -> tuple[int, int, list[Frame]]:
             if data[at + 1] == 0xF9:
                 f, d, t = struct.unpack_from("<BHB", data, at + 3)
                 delay, disposal, transparent = d * 10, f >> 2 & 7, t if f & 1 else None
-            _, at = _read_blocks(data, at + 2)
+            kind = data[at + 1]
+            body, at = _read_blocks(data, at + 2)
+            comment += body if kind == 0xFE else b""
         elif data[at] == 0x2C:
             left, top, w, h, f = struct.unpack_from("<HHHHB", data, at + 1)
             at += 10
@@ -208,25 +224,27 @@ def read_gif(data: bytes) -> tuple[int, int, list[Frame]]:
             delay, disposal, transparent = 0, 0, None
         else:
             raise ValueError("broken file")
-    return width, height, frames
+    return Gif(width, height, frames, comment)
 
 
-def compose(width: int, height: int, frames: list[Frame]):
-    """The screen as red, green, blue and opacity after each frame, by the disposal and transparency rules."""
-    canvas = np.zeros((height, width, 4), np.uint8)
-    for f in frames:
+def compose(gif: Gif):
+    """The screen as red, green, blue and opacity after each frame, by the disposal and transparency rules. One array, changed in place."""
+    canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
+    for f in gif.frames:
         h, w = f.samples.shape
-        box = np.s_[f.top : f.top + h, f.left : f.left + w]
-        before = canvas[box].copy() if f.disposal == 3 else None
-        place = canvas[box]
+        place = canvas[f.top : f.top + h, f.left : f.left + w]
+        before = place.copy() if f.disposal == 3 else None
         samples = f.samples[: place.shape[0], : place.shape[1]]
-        palette = np.zeros((256, 3), np.uint8)
-        palette[: len(f.palette)] = f.palette
-        shown = np.ones(samples.shape, bool) if f.transparent is None else samples != f.transparent
-        place[shown, :3] = palette[samples[shown]]
-        place[shown, 3] = 255
+        colours = np.zeros((256, 4), np.uint8)
+        colours[: len(f.palette), :3] = f.palette
+        colours[:, 3] = 255
+        if f.transparent is None:
+            place[:] = colours[samples]
+        else:
+            shown = samples != f.transparent
+            place[shown] = colours[samples[shown]]
         yield canvas
         if f.disposal == 2:
-            canvas[box] = 0
+            place[:] = 0
         elif f.disposal == 3:
-            canvas[box] = before
+            place[:] = before
