@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.session import materialize
+from sedimark.session import materialize, release
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         small = large.join(first, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(small.unionByName(first.select("u", F.col("m").alias("v"))).distinct(), "edges")
         # a round that changes nothing leaves stars only
-        e, before, mark = new, mark, _fingerprint(new)
+        old, e, before, mark = e, new, mark, _fingerprint(new)
+        release(old)
         if mark == before:
             break
     else:

@@ -261,9 +261,8 @@ def simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.hamming_join(s, s, "doc_id", "doc_id").where("a < b")
 
 
-_NEAR_SQL = f"""{_SIMHASH_SQL}, near AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, bit_count(xor(x.v, y.v)::UBIGINT)::INT AS distance
-  FROM feat a JOIN feat b ON a.token = b.token AND a.doc_id < b.doc_id JOIN simhash x ON x.doc_id = a.doc_id JOIN simhash y ON y.doc_id = b.doc_id
-  WHERE bit_count(xor(x.v, y.v)::UBIGINT) <= 5 AND a.token IN (SELECT token FROM feat GROUP BY token HAVING count(*) <= 60))"""
+_NEAR_SQL = f"""{_SIMHASH_SQL}, close AS (SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.v, b.v)::UBIGINT)::INT AS distance FROM simhash a JOIN simhash b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.v, b.v)::UBIGINT) <= 5),
+rare AS (SELECT token FROM feat GROUP BY token HAVING count(*) <= 2000), near AS (SELECT a, b, distance FROM close WHERE EXISTS (SELECT 1 FROM feat x JOIN feat y ON x.token = y.token JOIN rare ON rare.token = x.token WHERE x.doc_id = close.a AND y.doc_id = close.b))"""
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,7 +169,7 @@ def group_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(m.withColumnRenamed("a", "b"), "artifact").where("a < b").select("artifact", "a", "b")
 
 
-_LINK = "SELECT DISTINCT least(o_custkey, o_custkey * 7 % 1500) AS a, greatest(o_custkey, o_custkey * 7 % 1500) AS b FROM orders WHERE o_custkey % 5 = 0"
+_LINK = "SELECT DISTINCT least(o_custkey, o_custkey * 7 % 1500) AS a, greatest(o_custkey, o_custkey * 7 % 1500) AS b FROM orders"
 
 
 @q(f"WITH RECURSIVE l AS ({_LINK}), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT c_custkey AS node, c_custkey AS g FROM customer UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node) SELECT node AS c_custkey, min(g) AS \"group\" FROM r WHERE node IN (SELECT c_custkey FROM customer) GROUP BY 1")
@@ -180,7 +180,8 @@ def repo_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.group_ids(known, pairs, "c_custkey")
 
 
-@q("WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_quantity > 49 AND b.l_quantity > 49), r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node) SELECT node, min(g) AS \"group\" FROM r GROUP BY 1")
+@q("WITH RECURSIVE f AS (SELECT l_orderkey, l_suppkey, min(l_suppkey) OVER (PARTITION BY l_orderkey) AS m FROM lineitem), l AS (SELECT DISTINCT m AS a, l_suppkey AS b FROM f), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), "
+   "r AS (SELECT a AS node, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node) SELECT node, min(g) AS \"group\" FROM r GROUP BY 1")
 def app_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups merged over all libraries of an app."""
     m = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()

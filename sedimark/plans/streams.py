@@ -2,49 +2,39 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sedimark.plans.base import Section
-from sedimark.session import shared_dir
+from sedimark.session import new_path
 from sedimark.streaming import events as E
 
 section = Section()
 q = section.add
 
 
-def _path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/sedimark/stream-{uuid.uuid4().hex}"
-
-
-# The registered SQL leaves the last day out; the queries don't.
-_CLOSED = "date_trunc('day', (SELECT max(ts) FROM events))"
-
-
-@q(f"SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR < {_CLOSED}")
+@q("SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of a stream."""
-    return E.run_to_table(E.tumbling(E.read_events(spark, sf_dir)), _path(spark), "complete").drop("end")
+    return E.run_to_table(E.tumbling(E.read_events(spark, sf_dir)), new_path(spark, "stream"), "complete").drop("end")
 
 
-@q(f"WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts)::TIMESTAMP - i * INTERVAL 30 MINUTE AS start, event_type, value FROM events, range(2) t(i)) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR < {_CLOSED}")
+@q("WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts)::TIMESTAMP - i * INTERVAL 30 MINUTE AS start, event_type, value FROM events, range(2) t(i)) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-hourly counts over hours of a stream."""
-    return E.run_to_table(E.sliding(E.read_events(spark, sf_dir)), _path(spark), "complete").drop("end")
+    return E.run_to_table(E.sliding(E.read_events(spark, sf_dir)), new_path(spark, "stream"), "complete").drop("end")
 
 
-@q("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), "
-   f"g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, start, n FROM g WHERE \"end\" < {_CLOSED}")
+@q("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), "
+   "g AS (SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, start, n FROM g")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' sessions of a stream."""
-    return E.run_to_table(E.sessions(E.read_events(spark, sf_dir)), _path(spark), "complete").drop("end")
+    """Users' sessions of a stream; a pause of exactly 30 minutes doesn't end one."""
+    return E.run_to_table(E.sessions(E.read_events(spark, sf_dir)), new_path(spark, "stream"), "complete").drop("end")
 
 
 @q("SELECT event_id, user_id FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a stream, each id once."""
-    return E.run_to_table(E.deduplicated(E.read_events(spark, sf_dir), ["event_id"]).select("event_id", "user_id"), _path(spark))
+    return E.run_to_table(E.deduplicated(E.read_events(spark, sf_dir), ["event_id"]).select("event_id", "user_id"), new_path(spark, "stream"))
 
 
 QUERIES, ORACLE = section.queries, section.oracle

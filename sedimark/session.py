@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where one machine does everything and the session names no shared folder, as in tests.
 LOCAL_SHARED_DIR = "file:///tmp/sedimark-shared"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folders of this application that still have to go.
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,34 +22,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
+    """The folder that the driver and all executors share; on a cluster the session has to name it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    return LOCAL_SHARED_DIR
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new folder's name in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/sedimark/{tag}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
 
 
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
 
-    Cuts lineage so that a lost executor costs only the tasks it ran. The files go when the application ends.
+    Cuts lineage so that a lost executor costs only the tasks it ran. The files go by ``release``, at the end of a
+    ``stage``, or when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sedimark/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     schema = df.schema
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._materialized_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a materialised table that nothing reads any more; other DataFrames are left alone."""
+    path = getattr(df, "_materialized_at", None)
+    if path in _written:
+        _discard(path)
+
+
+@contextmanager
+def stage(*last: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes, when the block ends, what it materialised and the tables ``last``, but for what it puts into the list."""
+    known, kept = set(_written), []
+    yield kept
+    keep = {getattr(df, "_materialized_at", None) for df in kept}
+    for path in [p for p in _written if p not in known and p not in keep]:
+        _discard(path)
+    for df in last:
+        release(df)
 
 
-def discard(df_path_owner: SparkSession, path: str) -> None:
-    """Delete one materialised table."""
-    jvm = df_path_owner.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df_path_owner.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _discard(path: str) -> None:
+    spark = _written.pop(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            discard(spark, path)
-        except Exception:  # the JVM may be gone by now; the folder's owner clears it then
-            return
+            _discard(path)
+        except Exception:  # noqa: S112 - a session or its JVM may be gone; the others' tables still have to go
+            continue
