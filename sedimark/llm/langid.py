@@ -1,6 +1,6 @@
 """Language identification of mixed text.
 
-Words are runs of letters. A word's script narrows the candidates to the languages learned with that script. Each word is scored per
+Words are letters with the letters and marks that follow. A word's script narrows the candidates to the languages learned with that script. Each word is scored per
 language by its character trigrams and itself as a whole; Viterbi over the words, with a penalty for switching the
 language, labels spans. A text's language is that of most letters.
 """
@@ -16,22 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.llm.labels import fold, sample
-from sedimark.llm.letters import SCRIPTS, code_points, script_table, spans
+from sedimark.llm.letters import SCRIPTS, code_points, letters_before, lowered, script_table, word_spans
 from sedimark.llm.words import bounded, hash_spans, mix64
 
-BITS = 17
+#: Bits of a feature's index at most, and bytes of a model at most: many languages have fewer bits each.
+BITS, MODEL_BYTES = 17, 64 << 20
 #: Documents of each language that are sampled for training, at most.
 PER_CLASS = 800
 #: Log odds that a switch between words costs.
 SWITCH = 8.0
-#: Words to a step of the blocked Viterbi.
-BLOCK = 32
+#: Words to a block of the Viterbi.
+BLOCK = 64
+#: Scores are multiples of 1/GRID, so that adding them in another order changes nothing.
+GRID = 1024
 UNKNOWN = "und"
 
 
 @dataclass
 class Words:
-    """Words of a batch: features (trigrams by word), row, letters, script, and place in code points."""
+    """Words of a batch: features (trigrams by word), row, letters, script, place in code points, and where the rows begin."""
 
     grams: np.ndarray
     gram_word: np.ndarray
@@ -40,14 +43,22 @@ class Words:
     size: np.ndarray
     script: np.ndarray
     start: np.ndarray
+    end: np.ndarray
     base: np.ndarray
 
 
-def words_of(texts: list[str | None]) -> Words:
-    points, first = code_points([x.lower() if x else x for x in texts])
-    script = script_table()[np.minimum(points, 0x10FFFF)]
-    inside = script > 0
-    lo, hi = spans(inside)
+def bits_for(n_languages: int) -> int:
+    """Bits of a feature's index with which two tables of floats fit MODEL_BYTES."""
+    return max(8, min(BITS, (MODEL_BYTES // (8 * max(1, n_languages))).bit_length() - 1))
+
+
+def words_of(texts: list[str | None], bits: int = BITS) -> Words:
+    points, first = code_points(texts)
+    points = lowered(points)
+    lo, hi = word_spans(points)
+    edge = np.zeros(len(points) + 1, np.int8)
+    edge[lo], edge[hi] = 1, -1
+    inside = np.cumsum(edge[:-1]) > 0
     n_words = len(lo)
     # trigrams of each word with an edge on either side: one ends at each letter, and one after the last
     p = np.where(inside, points, 0).astype(np.uint64)
@@ -57,16 +68,18 @@ def words_of(texts: list[str | None]) -> Words:
     ends = inside | (before > 0)
     at = np.flatnonzero(ends)
     word = np.searchsorted(lo, at, "right") - 1
-    shift = np.uint64(64 - BITS)
+    shift = np.uint64(64 - bits)
     grams = (mixed[at] >> shift).astype(np.int32)
     whole = (mix64(hash_spans(points, lo, hi)) >> shift).astype(np.int32) if n_words else np.empty(0, np.int32)
-    return Words(grams, word, whole, np.searchsorted(first, lo, "right") - 1, hi - lo, script[lo], lo, first)
+    count = letters_before(points)
+    return Words(grams, word, whole, np.searchsorted(first, lo, "right") - 1, count[hi] - count[lo], script_table()[points[lo]], lo, hi, first)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    grams: np.ndarray  # 2**BITS x languages, centred log probabilities
+    bits: int
+    grams: np.ndarray  # 2**bits x languages, centred log probabilities
     whole: np.ndarray
     scripts: np.ndarray  # scripts x languages: learned with it
 
@@ -76,14 +89,16 @@ class Model:
             out[:, k] += np.bincount(w.gram_word, self.grams[w.grams, k], minlength=len(w.row))
         allowed = self.scripts[w.script]
         allowed = allowed | ~allowed.any(1, keepdims=True)  # a script never seen narrows nothing
-        return np.where(allowed, out, -1e4)
+        return np.where(allowed, np.round(out * GRID) / GRID, -1e4)  # on a grid, sums are exact
 
 
 def viterbi(scores: np.ndarray, row: np.ndarray, switch: float = SWITCH, block: int = BLOCK) -> np.ndarray:
     """The best language of each word; paths are per row.
 
-    Blocks of words are solved for every entry language at once, then chained, then traced back: the steps are a
-    block's length and a row's number of blocks, each over all rows together.
+    As every switch costs the same, a word's best path to a language goes on in it or comes from the best language so
+    far: work and memory grow with words x languages. Rows are cut into blocks that are solved side by side, each from
+    its guessed entry scores, first all equal; a block whose predecessor turns out to end in other scores is
+    solved again, until none does. Scores on a grid make that test exact.
     """
     n, k = scores.shape
     if not n:
@@ -91,57 +106,62 @@ def viterbi(scores: np.ndarray, row: np.ndarray, switch: float = SWITCH, block:
     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     sizes = np.diff(np.concatenate([starts, [n]]))
     per_row = -(-sizes // block)
-    block_row = np.repeat(np.arange(len(starts)), per_row)
-    nth = np.arange(len(block_row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-    first = starts[block_row] + nth * block
-    length = np.minimum(block, sizes[block_row] - nth * block)
-    penalty = np.where(np.eye(k, dtype=bool), 0.0, -switch)
-    # best[b, i, j]: from entry language i (before the block) to language j at the current word
-    best = np.repeat(penalty[None], len(first), 0)
-    back = np.zeros((block, len(first), k, k), np.int8)
-    for t in range(block):
-        live = np.flatnonzero(length > t)
-        if t:
-            step = best[live][:, :, :, None] + penalty[None, None]
-            choice = step.argmax(2)
-            back[t, live] = choice
-            best[live] = np.take_along_axis(step, choice[:, :, None, :], 2)[:, :, 0, :]
-        best[live] += scores[first[live] + t][:, None, :]
-    n_blocks = int(per_row.max())
-    row_first = np.cumsum(per_row) - per_row
-    state = np.zeros((len(starts), k))
-    came = np.zeros((len(first), k), np.int8)
-    for t in range(n_blocks):
-        live = np.flatnonzero(per_row > t)
-        b = row_first[live] + t
-        step = state[live][:, :, None] + best[b]
-        if not t:  # any language may begin, at no cost
-            came[b] = best[b].argmax(1)
-            state[live] = best[b].max(1)
-            continue
-        came[b] = step.argmax(1)
-        state[live] = np.take_along_axis(step, came[b][:, None, :].astype(np.int64), 1)[:, 0]
-    path = np.empty(n, np.int64)
+    last = np.cumsum(per_row) - 1
+    nth = np.arange(last[-1] + 1) - np.repeat(last + 1 - per_row, per_row)
+    first = np.repeat(starts, per_row) + nth * block
+    length = np.minimum(block, np.repeat(sizes, per_row) - nth * block)
+    follows = np.ones(len(first), bool)
+    follows[last] = False
+    entry, leaves = np.zeros((len(first), k)), np.zeros((len(first), k))
+    jumped = np.zeros((n, k), bool)  # the best path to this language switches at this word
+    lead = np.zeros(n, np.int32)  # and comes from this one
+    todo = np.arange(len(first))
+    while len(todo):
+        todo = todo[np.argsort(-length[todo], kind="stable")]
+        live = np.searchsorted(-length[todo], -np.arange(block), "left")
+        state = entry[todo]
+        for t, m in enumerate(live):
+            if not m:
+                break
+            at, own = first[todo[:m]] + t, state[:m]
+            lead[at] = own.argmax(1)
+            jump = own.max(1, keepdims=True) - switch
+            jumped[at] = own < jump
+            np.maximum(own, jump, out=own)
+            own += scores[at]
+            own -= own.max(1, keepdims=True)
+        leaves[todo] = state
+        after = todo[follows[todo]] + 1
+        after = after[(entry[after] != leaves[after - 1]).any(1)]
+        entry[after] = leaves[after - 1]
+        todo = after
+    order = np.argsort(-length, kind="stable")
+    live = np.searchsorted(-length[order], -np.arange(block), "left")
+    came = np.repeat(np.arange(k)[None], len(first), 0)  # by the language after a block, that before it
+    for t in range(block - 1, -1, -1):
+        b = order[: live[t]]
+        at, own = first[b] + t, came[b]
+        came[b] = np.where(np.take_along_axis(jumped[at], own, 1), lead[at][:, None], own)
     exits = np.zeros(len(first), np.int64)
-    final = state.argmax(1)
-    for t in range(n_blocks - 1, -1, -1):
-        live = np.flatnonzero(per_row > t)
-        b = row_first[live] + t
-        is_last = per_row[live] == t + 1
-        exits[b] = np.where(is_last, final[live], exits[b])
-        if t:
-            exits[b - 1] = came[b, exits[b]]
-    entry = came[np.arange(len(first)), exits].astype(np.int64)
-    now = exits.copy()
+    exits[last] = leaves[last].argmax(1)
+    for t in range(1, int(per_row.max())):
+        b = (last - t)[per_row > t]
+        exits[b] = came[b + 1, exits[b + 1]]
+    path = np.empty(n, np.int64)
     for t in range(block - 1, -1, -1):
-        live = np.flatnonzero(length > t)
-        path[first[live] + t] = now[live]
-        if t:
-            now[live] = back[t, live, entry[live], now[live]]
+        b = order[: live[t]]
+        at = first[b] + t
+        path[at] = exits[b]
+        exits[b] = np.where(jumped[at, exits[b]], lead[at], exits[b])
     return path
 
 
-def _chunks(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def _batch_bytes(n_languages: int) -> int:
+    """Bytes of text to a batch: its scores are words x languages."""
+    return (1 << 21) // max(4, n_languages)
+
+
+def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``most`` characters each."""
     lo = size = 0
     for i, x in enumerate(texts):
@@ -158,24 +178,25 @@ def train(texts: list[str], langs: list[str], passes: int = 2) -> Model:
     languages = sorted(set(langs))
     y = np.array([languages.index(x) for x in langs])
     k = len(languages)
+    bits = bits_for(k)
     model: Model | None = None
     for _ in range(passes):
-        grams, whole, used = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k)), np.zeros((len(SCRIPTS), k))
-        for lo, hi in _chunks(texts):
-            w = words_of(texts[lo:hi])
+        grams, whole, used = np.zeros((1 << bits, k)), np.zeros((1 << bits, k)), np.zeros((len(SCRIPTS), k))
+        for lo, hi in _chunks(texts, _batch_bytes(k)):
+            w = words_of(texts[lo:hi], bits)
             lang = y[lo:hi][w.row]
             keep = viterbi(model.word_scores(w), w.row) == lang if model else np.ones(len(w.row), bool)
             for c in range(k):
                 own = keep & (lang == c)
-                grams[:, c] += np.bincount(w.grams[own[w.gram_word]], minlength=1 << BITS)
-                whole[:, c] += np.bincount(w.whole[own], minlength=1 << BITS)
+                grams[:, c] += np.bincount(w.grams[own[w.gram_word]], minlength=1 << bits)
+                whole[:, c] += np.bincount(w.whole[own], minlength=1 << bits)
                 used[:, c] += np.bincount(w.script[own], minlength=len(SCRIPTS))
         tables = []
         for counts, smooth in ((grams, 0.5), (whole, 2.0)):
             logp = np.log((counts + smooth) / np.maximum(counts.sum(0), 1))
             logp[counts.sum(1) == 0] = 0
             tables.append((logp - logp.mean(1, keepdims=True)).astype(np.float32))
-        model = Model(languages, *tables, used >= np.maximum(3, 0.005 * used.sum(0)))
+        model = Model(languages, bits, *tables, used >= np.maximum(3, 0.005 * used.sum(0)))
     return model
 
 
@@ -190,7 +211,7 @@ def _shares(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, n
     """Letters of each text in each language, and the words' languages; one column of zeros without a model."""
     if model is None:
         return np.zeros((len(texts), 1)), None, None
-    w, k = words_of(texts), len(model.languages)
+    w, k = words_of(texts, model.bits), len(model.languages)
     path = viterbi(model.word_scores(w), w.row)
     return np.bincount(w.row * k + path, w.size, minlength=len(texts) * k).reshape(len(texts), k), path, w
 
@@ -198,17 +219,17 @@ def _shares(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, n
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, with_spans: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; with ``with_spans`` also the labelled spans in characters.
 
-    ``score`` is the predicted language's share of the letters. Null and empty texts, and such without a letter:
-    ``und`` with score 0. A null id: not held out. Repeated rows: equal results. Very long texts: whole. Empty table, or no model:
+    ``score`` is the predicted language's share of the letters; spans are places in the text as given. Null and empty
+    texts, and such without a letter (marks alone are none): ``und`` with score 0. A null id: not held out. Repeated rows: equal results. Very long texts: whole. Empty table, or no model:
     an empty result, or ``und`` throughout. Other columns are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     span_type = "array<struct<start:int,end:int,lang:string>>"
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two tables of 2**BITS floats a language
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model | None = sent.value
-        for batch in bounded(batches, "text", 1 << 19):
+        for batch in bounded(batches, "text", _batch_bytes(len(own.languages) if own else 1)):
             n = batch.num_rows
             names = own.languages if own else []
             share, path, w = _shares(own, batch.column(2).to_pylist())
@@ -232,7 +253,7 @@ def _spans(w: Words, path: np.ndarray, names: list[str], n: int) -> list[list[di
         edge = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (w.row[1:] != w.row[:-1])]))
         for a, b in zip(edge.tolist(), [*(edge[1:] - 1).tolist(), len(path) - 1], strict=True):
             r = int(w.row[a])
-            out[r].append({"start": int(w.start[a] - w.base[r]), "end": int(w.start[b] + w.size[b] - w.base[r]), "lang": names[path[a]]})
+            out[r].append({"start": int(w.start[a] - w.base[r]), "end": int(w.end[b] - w.base[r]), "lang": names[path[a]]})
     return out
 
 
@@ -245,8 +266,9 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, text_col, 1 << 19):
-            share = _shares(sent.value, batch.column(at).to_pylist())[0]
+        own: Model | None = sent.value
+        for batch in bounded(batches, text_col, _batch_bytes(len(own.languages) if own else 1)):
+            share = _shares(own, batch.column(at).to_pylist())[0]
             total = share.sum(1)
             fit = batch.filter(pa.array((total > 0) & (share.max(1) >= min_score * total)))
             if fit.num_rows:

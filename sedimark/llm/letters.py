@@ -20,15 +20,46 @@ SCRIPTS = ("none", "other", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES)
 
 
 @lru_cache(maxsize=1)
-def script_table() -> np.ndarray:
-    """For each code point, an index into SCRIPTS; 0 for what is no letter or mark."""
-    out = np.zeros(0x110000, np.uint8)
-    letters = [c for c in range(0x30000) if unicodedata.category(chr(c))[0] in "LM"]
-    out[letters] = 1
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: the script's index, whether it is a letter, and its lower case where that is a single code point."""
+    script, letter, lower = np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "LM":
+            script[c], letter[c] = 1, kind[0] == "L"
+            if kind in ("Lu", "Lt") and len(small := chr(c).lower()) == 1:
+                lower[c] = ord(small)
     for name, first, last in SCRIPT_RANGES:
-        part = out[first : last + 1]
+        part = script[first : last + 1]
         part[part > 0] = SCRIPTS.index(name)
-    return out
+    return script, letter, lower
+
+
+def script_table() -> np.ndarray:
+    """For each code point, an index into SCRIPTS; 0 for what is no letter or mark."""
+    return _tables()[0]
+
+
+def lowered(points: np.ndarray) -> np.ndarray:
+    """Code points in lower case, one for one, so that places stay those of the text."""
+    return _tables()[2][points]
+
+
+def word_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word: a letter and the letters and marks after it."""
+    script, letter, _ = _tables()
+    lo, hi = spans(script[points] > 0)
+    bare = ~letter[points[lo]]
+    if bare.any():  # runs that begin with marks: words begin at the first letter, if there is one
+        at = np.append(np.flatnonzero(letter[points]), len(points))
+        lo = np.where(bare, at[np.searchsorted(at, lo)], lo)
+        lo, hi = lo[lo < hi], hi[lo < hi]
+    return lo, hi
+
+
+def letters_before(points: np.ndarray) -> np.ndarray:
+    """At each place the number of letters before it, with one more at the end."""
+    return np.concatenate([[0], np.cumsum(_tables()[1][points])])
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -112,10 +112,10 @@ def _layers(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-n[order], -np.arange(n.max() if len(n) else 0), "left")
 
 
-def marginals(unary: np.ndarray, trans: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(unary: np.ndarray, trans: np.ndarray, first: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward in log space, all documents at once: P(line is good), pair expectations, log partition.
 
-    ``unary`` is the score of good against bad for each line; ``trans`` a 2 x 2 table (from, to), 1 being good.
+    Pair expectations are summed over the documents, each times its ``weight`` if given. ``unary`` is the score of good against bad for each line; ``trans`` a 2 x 2 table (from, to), 1 being good.
     """
     order, alive = _layers(first)
     u = np.stack([np.zeros(len(unary)), unary], 1)
@@ -137,7 +137,8 @@ def marginals(unary: np.ndarray, trans: np.ndarray, first: np.ndarray) -> tuple[
     inner = np.ones(len(unary), bool)
     inner[last] = False
     i = np.flatnonzero(inner)
-    pair = np.array([[np.exp(alpha[i, a] + trans[a, b] + u[i + 1, b] + beta[i + 1, b] - zl[i]).sum() for b in (0, 1)] for a in (0, 1)])
+    per = np.ones(len(i)) if weight is None else np.repeat(weight, np.diff(first))[i]
+    pair = np.array([[per @ np.exp(alpha[i, a] + trans[a, b] + u[i + 1, b] + beta[i + 1, b] - zl[i]) for b in (0, 1)] for a in (0, 1)])
     return good, pair, z
 
 
@@ -160,34 +161,49 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * mean + self.shift, -40, 40)))
 
 
+@dataclass
+class Task:
+    """Lines with labels, and the weight of each document in the likelihood."""
+
+    x: np.ndarray
+    y: np.ndarray
+    first: np.ndarray
+    weight: np.ndarray
+    ridge: float
+
+    def gradient(self, w: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The documents' weighted log likelihood less the ridge, and its slopes by the weights and the transitions."""
+        unary = self.x @ w
+        good, pair, z = marginals(unary, trans, self.first, self.weight)
+        line = np.repeat(self.weight, np.diff(self.first))
+        inner = np.ones(len(self.y), bool)
+        inner[self.first[1:] - 1] = False
+        i = np.flatnonzero(inner)
+        seen = np.array([[(line[i] * (self.y[i] == a) * (self.y[i + 1] == b)).sum() for b in (0, 1)] for a in (0, 1)])
+        value = (line * self.y * unary).sum() + (seen * trans).sum() - (self.weight * z).sum() - self.ridge / 2 * ((w**2).sum() + (trans**2).sum())
+        return float(value), self.x.T @ ((self.y - good) * line) - self.ridge * w, seen - pair - self.ridge * trans
+
+
 def train(texts: list[str], quality: np.ndarray, rounds: int = 60, passes: int = 2, rate: float = 0.2, ridge: float = 1e-3) -> Model:
     x, size, first = line_features(pa.array(texts, pa.large_string()))
     x = with_neighbours(x, first)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    y = quality[doc].astype(float)
-    balance = np.where(quality > 0, 0.5 / max(1, quality.sum()), 0.5 / max(1, (1 - quality).sum())) * len(texts)
-    per_doc = balance / np.diff(first)
-    last = np.zeros(len(y), bool)
-    last[first[1:] - 1] = True
-    i = np.flatnonzero(~last)
+    balance = np.where(quality > 0, 0.5 / max(1, quality.sum()), 0.5 / max(1, (1 - quality).sum()))
+    task = Task(x, quality[doc].astype(float), first, balance / np.diff(first), ridge)  # each document counts alike, however long
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
-    model = Model(w, trans, 1.0, 0.0)
     for _ in range(passes):
         m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))
-        seen = np.array([[((y[i] == a) & (y[i + 1] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
         for t in range(1, rounds + 1):
-            good, pair, _ = marginals(x @ w, trans, first)
-            g = x.T @ ((y - good) * per_doc[doc]) / len(texts) - ridge * w
-            gt = (seen - pair) / len(y) - ridge * trans
+            _, g, gt = task.gradient(w, trans)
             m, v, mt, vt = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2, 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt**2
             c1, c2 = 1 - 0.9**t, 1 - 0.99**t
             w = w + rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
             trans = trans + rate * (mt / c1) / (np.sqrt(vt / c2) + 1e-8)
         good = marginals(x @ w, trans, first)[0]
-        model = Model(w, trans, 1.0, 0.0)
         # lines of bad documents that look good are good, but the worst line stays bad
         worst = np.minimum.reduceat(good, first[:-1])[doc]
-        y = np.where(quality[doc] > 0, 1.0, ((good > 0.5) & (good > worst)).astype(float))
+        task.y = np.where(quality[doc] > 0, 1.0, ((good > 0.5) & (good > worst)).astype(float))
+    model = Model(w, trans, 1.0, 0.0)
     mean = model.mean_good(good, size, first)
     model.slope, model.shift = _calibrate(mean, quality)
     return model

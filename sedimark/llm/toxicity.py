@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.llm.labels import fold, sample
-from sedimark.llm.letters import code_points, script_table, spans
+from sedimark.llm.letters import code_points, lowered, word_spans
 from sedimark.llm.words import bounded, hash_spans
 
 #: Bits of a feature's index; weights are 2**BITS floats.
@@ -25,7 +25,7 @@ BITS = 19
 PREFIXES = (4, 5)
 #: Labelled documents of each class that are sampled for training, at most.
 PER_CLASS = 1500
-#: Log odds of a sentence without any known feature. It isn't trained: long clean documents have thousands of such.
+#: Log odds of a sentence without any known feature before training: one in 60,000, as long clean documents have thousands of such.
 START = -11.0
 _STOPS = np.array([ord(c) for c in ".!?\n。！？"], np.uint32)
 
@@ -42,12 +42,13 @@ class Sentences:
 
 
 def sentences(texts: list[str | None]) -> Sentences:
-    points, first = code_points([x.lower() if x else x for x in texts])
+    points, first = code_points(texts)
+    points = lowered(points)
     stop = np.isin(points, _STOPS)
     stop[first[1:] - 1] = True
     ends = np.flatnonzero(stop) + 1
     starts = np.concatenate([[0], ends[:-1]])
-    lo, hi = spans(script_table()[np.minimum(points, 0x10FFFF)] > 0)
+    lo, hi = word_spans(points)
     shift = np.uint64(64 - BITS)
     cols = [hash_spans(points, lo, hi) >> shift] + [(hash_spans(points, lo, np.minimum(hi, lo + k)) ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) >> shift for k in PREFIXES]
     return Sentences(np.stack(cols, 1).astype(np.int32) if len(lo) else np.empty((0, 1 + len(PREFIXES)), np.int32), np.searchsorted(starts, lo, "right") - 1, np.searchsorted(first, starts, "right") - 1, starts, ends)
@@ -66,26 +67,32 @@ class Model:
         return -np.expm1(-np.bincount(s.row, np.logaddexp(0, self.logits(s)), minlength=rows))
 
 
+def likelihood(z: np.ndarray, row: np.ndarray, toxic: np.ndarray, balance: np.ndarray) -> tuple[float, np.ndarray]:
+    """The documents' weighted log likelihood through the noisy-or, and its slope by each sentence's log odds ``z``."""
+    total = np.clip(np.bincount(row, np.logaddexp(0, z), minlength=len(toxic)), 1e-6, 500)
+    value = balance * np.where(toxic > 0, np.log(-np.expm1(-total)), -total)
+    slope = balance * np.where(toxic > 0, 1 / np.expm1(total), -1.0)
+    return float(value.sum()), slope[row] * np.exp(-np.logaddexp(0, -z))
+
+
 def train(texts: list[str | None], toxic: np.ndarray, rounds: int = 150, rate: float = 0.2, shrink: float = 5e-4) -> Model:
-    """Gradient ascent on the documents' likelihood through the noisy-or, with shrinking of weights to zero."""
+    """Gradient ascent on the documents' likelihood, with shrinking of the weights, not the bias, to zero."""
     s = sentences(texts)
     used, inverse = np.unique(s.features, return_inverse=True)
     inverse = inverse.reshape(s.features.shape)
     w, b = np.zeros(len(used)), START
-    m, v = np.zeros(len(used)), np.zeros(len(used))
+    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     balance = np.where(toxic > 0, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))
     flat, per = inverse.ravel(), inverse.shape[1]
     for t in range(1, rounds + 1):
         z = b + np.bincount(s.sentence, w[inverse].sum(1), minlength=len(s.row))
-        total = np.bincount(s.row, np.logaddexp(0, z), minlength=len(texts))
-        slope = balance * np.where(toxic > 0, 1 / np.expm1(np.clip(total, 1e-6, 500)), -1.0)
-        g = slope[s.row] * np.exp(-np.logaddexp(0, -z))
-        gw = np.bincount(flat, np.repeat(g[s.sentence], per), minlength=len(used))
+        _, g = likelihood(z, s.row, toxic, balance)
+        gw = np.append(np.bincount(flat, np.repeat(g[s.sentence], per), minlength=len(used)), g.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         step = rate * (m / c1) / (np.sqrt(v / c2) + 1e-6)
-        w = w + step
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink / (np.sqrt(v / c2) + 1e-4), 0)
+        w, b = w + step[:-1], b + step[-1]
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink / (np.sqrt(v[:-1] / c2) + 1e-4), 0)
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w
     return Model(weights, float(b))
