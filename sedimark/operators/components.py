@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimark.operators.skew import with_group
 from sedimark.session import materialize, release
 
 
@@ -18,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component) for every node of an edge; the component is its smallest node.
 
     Each round replaces edges by as many at most: a node links its larger neighbours (large star), or its smaller
-    ones (small star), to its smallest. The rounds needed grow with the logarithm of a component's size. State is cut
+    ones (small star), to its smallest. A node with a large share of the edges isn't shuffled by. The rounds needed grow with the logarithm of a component's size. State is cut
     by a table in the shared folder each round. Loops and repeated edges don't matter; rows with a null end are
     ignored.
     """
@@ -31,13 +32,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         return nodes_alone.select("node", F.col("node").alias("component"))
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        seen = with_group(both, "u", F.least(F.min("v"), F.first("u")).alias("m"), 2 * mark[0])
+        large = seen.where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # now every edge is (larger, smaller)
-        first = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(first, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.unionByName(first.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        # a round that changes nothing leaves stars only
+        large = materialize(large, "edges")
+        seen = with_group(large, "u", F.min("v").alias("m"), mark[0])
+        small = seen.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v")
+        new = materialize(small.distinct(), "edges")
+        release(large)
         old, e, before, mark = e, new, mark, _fingerprint(new)
         release(old)
         if mark == before:

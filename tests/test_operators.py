@@ -8,16 +8,20 @@ import pytest
 
 from sedimark.functions import hashing
 from sedimark.functions import scalar as S
-from sedimark.operators import centroid, index, match
+from sedimark.operators import centroid, index, match, skew
 from sedimark.operators import versions as V
 from sedimark.operators.components import connected_components
 from sedimark.sources import containers, files
 from sedimark.streaming import events as E
 
 
-def test_components_by_search(spark):
+@pytest.mark.parametrize("least", [200, 5])
+def test_components_by_search(spark, monkeypatch, least):
+    """Random edges, a path, and a star about a node that isn't the smallest; with few and with many hot nodes."""
+    monkeypatch.setattr(skew, "LEAST", least)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7), (900, 900)]
+    edges += [(2500, i) for i in range(2000, 3000) if i != 2500]
     near = {}
     for a, b in edges:
         near.setdefault(a, set()).add(b)
@@ -35,6 +39,17 @@ def test_components_by_search(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_lookup_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 10)
+    rows = [(i % 3 if i < 60 else i, i) for i in range(100)] + [(None, 1)]
+    facts = [(k, sum(r[0] == k for r in rows), f"f{k}") for k in (0, 1, 2, *range(60, 90), 500)]
+    left, right = spark.createDataFrame(rows, "k long, v long"), spark.createDataFrame(facts, "k long, n long, f string")
+    want = {(k, v, f"f{k}") for k, v in rows if k is not None and k < 90}
+    assert {(r.k, r.v, r.f) for r in skew.lookup(left, right, ["k"], "n", len(rows)).collect()} == want
+    outer = {(r.k, r.v, r.f) for r in skew.lookup(left, right, ["k"], "n", len(rows), "left").collect()}
+    assert outer == want | {(k, v, None) for k, v in rows if k is None or k >= 90}
+
+
 def test_simhash_and_hamming_join(spark):
     rng = random.Random(2)
     values = [rng.getrandbits(64) for _ in range(40)]
