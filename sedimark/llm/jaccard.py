@@ -2,10 +2,13 @@
 
 Each text becomes the set of its word 5-grams. Equal sets collapse to one class of copies, which stands for all its
 documents from then on. Band and row counts follow from the target recall at the threshold. Classes meet on band
-hashes (a shuffle); classes that share a band chain into groups, and every group's texts are fetched once and
-verified on their full n-gram sets. A group larger than a block is split by a hash into blocks, and each pair of
-blocks is a task of its own, so memory is bounded, and no pair is lost or sent anywhere: tasks give back a count of
-links for each class, and the edges of a spanning forest.
+hashes (a shuffle), and those that share a band are verified on their full n-gram sets. Classes that chain by bands
+make a group; a group that fits a block is fetched once and verified in one task. A larger one goes in the way that
+moves fewer texts: bucket by bucket, where a pair counts in the first band that it shares, or, if it is a true group
+of near copies that would meet in most bands, as a whole. Buckets and groups larger than a block are split by a hash,
+and each pair of blocks is a task. So memory is bounded, groups that chance meetings chain together cost as much as
+their buckets, and no pair is lost or sent anywhere: tasks give back a count of links for each class, and the edges of
+a spanning forest.
 """
 
 from __future__ import annotations
@@ -16,16 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.llm.words import bounded, gram_hashes, hashed_words, mix64
 from sedimark.operators.components import connected_components
-from sedimark.session import materialize
+from sedimark.operators.skew import lookup
+from sedimark.session import materialize, release
 
 #: Characters of text in one block of a large group, in the mean; a task holds two blocks.
 BLOCK_CHARS = 4_000_000
-#: Rows of (group, number of blocks) that may be broadcast.
+#: Rows of (id, text hash, group) that may be broadcast to pick the texts to verify; beyond, texts go by shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows of MinHash values beyond which more rows to a band aren't considered.
 MOST_HASHES = 160
@@ -127,7 +131,10 @@ def _links(left: list[int], right: list[int], sets: list[np.ndarray], threshold:
 
 
 def verify_block(block_rows: pa.Table, n: int, threshold: float) -> pa.Table:
-    """One pair of blocks (or one block with itself): links of each class, and forest edges."""
+    """One pair of blocks (or one block with itself) of a group or a bucket: links of each class, and forest edges.
+
+    In the bucket of a band, only pairs count that share no earlier band.
+    """
     frame = block_rows.combine_chunks().to_batches()[0]
     sets_all = gram_sets(frame.column("text"), n)
     seen: dict[str, int] = {}
@@ -138,7 +145,8 @@ def verify_block(block_rows: pa.Table, n: int, threshold: float) -> pa.Table:
     sets = [sets_all[seen[k]] for k in keys]
     copies = frame.column("copies").to_numpy()[[seen[k] for k in keys]]
     block = frame.column("block").to_numpy()[[seen[k] for k in keys]]
-    lo, hi = frame.column("lo")[0].as_py(), frame.column("hi")[0].as_py()
+    lo, hi, band = (frame.column(c)[0].as_py() for c in ("lo", "hi", "band"))
+    hashes = np.array([frame.column("bands")[seen[k]].as_py() for k in keys]) if band >= 0 else None
     left, right = np.flatnonzero(block == lo).tolist(), np.flatnonzero(block == hi).tolist()
     links = np.zeros(len(keys), np.int64)
     root = list(range(len(keys)))
@@ -152,6 +160,8 @@ def verify_block(block_rows: pa.Table, n: int, threshold: float) -> pa.Table:
     for i, found in _links(left, right, sets, threshold):
         partners = np.array(right)[found]
         partners = partners[partners != i]
+        if hashes is not None:
+            partners = partners[(hashes[partners] == hashes[i]).argmax(1) == band]
         links[i] += copies[partners].sum()
         if lo != hi:
             links[partners] += copies[i]
@@ -176,32 +186,65 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, n: i
         F.max("chars").alias("chars"), F.first("bands").alias("bands"),
     )
     copies = materialize(copies.select("key", F.col("rep.doc_id").alias("copy_id"), F.col("rep.mark").alias("mark"), "copies", "chars", "bands"), "copies")
-    met = copies.select("key", F.posexplode("bands").alias("band", "hash")).groupBy("band", "hash").agg(F.min("key").alias("a"), F.count("*").alias("n"))
-    stars = (
-        copies.select("key", F.posexplode("bands").alias("band", "hash"))
-        .join(met.where("n > 1").drop("n"), ["band", "hash"])
-        .where("key != a").select("a", F.col("key").alias("b")).distinct()
-    )
-    groups = materialize(connected_components(stars), "groups").withColumnsRenamed({"node": "key", "component": "grp"})
-    members = groups.join(copies.drop("bands"), "key")
-    blocks = members.groupBy("grp").agg(F.ceil(F.sum("chars") / BLOCK_CHARS).cast("int").alias("n_blocks")).where("n_blocks > 1")
-    large = materialize(blocks, "large-groups")
-    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        large = F.broadcast(large)
-    members = members.join(large, "grp", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
-    members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
+    shared = _shared_buckets(copies, bands)
+    groups = connected_components(shared.where("key != a").select("a", F.col("key").alias("b")).distinct()).withColumnsRenamed({"node": "key", "component": "grp"})
+    members = materialize(groups.join(copies.drop("bands"), "key"), "members")
+    units = materialize(_units(members, shared, copies), "units")
     texts = docs.select(F.col(f"`{id_col}`").alias("copy_id_"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark_"), F.col(f"`{text_col}`").alias("text"))
-    full = members.join(texts, F.col("copy_id").eqNullSafe(F.col("copy_id_")) & (F.col("mark") == F.col("mark_"))).select("grp", "key", "copies", "block", "n_blocks", "text")
+    few = F.broadcast(units) if units.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else units
+    full = texts.join(few, F.col("copy_id").eqNullSafe(F.col("copy_id_")) & (F.col("mark") == F.col("mark_")))
+    full = full.withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     tasks = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "copies", "block", "text")
+        "unit", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "copies", "block", "band", "bands", "text")
     verified = materialize(
-        tasks.groupBy("grp", "lo", "hi").applyInArrow(lambda f: verify_block(f, n, threshold), "key string, leader string, links long"), "links")
+        tasks.groupBy("unit", "lo", "hi").applyInArrow(lambda f: verify_block(f, n, threshold), "key string, leader string, links long"), "links")
     joined = connected_components(verified.select(F.col("key").alias("a"), F.col("leader").alias("b"))).withColumnsRenamed({"node": "key", "component": "root"})
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     known = copies.select("key", "copy_id", "copies").join(joined, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    known = known.join(known.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select(
-        "key", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "mark", "key").join(known, "key").select("doc_id", "mark", "class_id", "copy_id", "n_links")
+    known = materialize(known, "known")
+    roots = materialize(known.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("n")), "roots")
+    classes = lookup(known, roots, ["root"], "n", known.count()).select(
+        "key", "copy_id", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    classes = materialize(classes, "classes")
+    for table in (copies, shared, members, units, verified, known, roots):
+        release(table)
+    found = lookup(signed.select("doc_id", "mark", "key"), classes, ["key"], "copies", signed.count())
+    return found.select("doc_id", "mark", "class_id", "copy_id", "n_links")
+
+
+def _shared_buckets(copies: DataFrame, bands: int) -> DataFrame:
+    """key, band, hash, chars and the bucket's smallest key ``a`` of each class in each bucket with several."""
+    held = copies.select("key", "chars", F.posexplode("bands").alias("band", "hash"))
+    met = materialize(held.groupBy("band", "hash").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1"), "met")
+    shared = materialize(lookup(held, met, ["band", "hash"], "n", bands * copies.count()).drop("n"), "shared")
+    release(met)
+    return shared
+
+
+def _blocks(chars: str) -> Column:
+    return F.ceil(F.col(chars) / BLOCK_CHARS).cast("int")
+
+
+def _units(members: DataFrame, shared: DataFrame, copies: DataFrame) -> DataFrame:
+    """copy_id, mark, key, copies, unit, n_blocks, band, bands: where each class is verified; band -1 for whole groups."""
+    sizes = members.groupBy("grp").agg(F.sum("chars").alias("size"), F.count("*").alias("n"))
+    large = materialize(sizes.withColumn("n_blocks", _blocks("size")).where("n_blocks > 1"), "large-groups")
+    bare = F.lit(None).cast("array<long>").alias("bands")
+    if large.isEmpty():
+        return members.select("copy_id", "mark", "key", "copies", F.col("grp").alias("unit"), F.lit(1).alias("n_blocks"), F.lit(-1).alias("band"), bare)
+    total = members.count()
+    placed = materialize(lookup(members, large, ["grp"], "n", total, "left"), "placed")
+    in_large = shared.join(placed.where("n_blocks > 1").select("key", "grp"), "key")
+    buckets = materialize(in_large.groupBy("grp", "band", "hash").agg(F.sum("chars").alias("bucket"), F.count("*").alias("n")).withColumn("n_blocks", _blocks("bucket")), "buckets")
+    moved = buckets.groupBy("grp").agg(F.sum(F.col("bucket") * F.col("n_blocks")).alias("moved"))
+    split = large.join(moved, "grp").where(F.col("moved") < F.col("size") * F.col("n_blocks")).select("grp", "n", F.lit(True).alias("split"))
+    split = materialize(split, "split")
+    placed = lookup(placed.drop("n"), split, ["grp"], "n", total, "left")
+    whole = placed.where("split IS NULL").select("copy_id", "mark", "key", "copies", F.col("grp").alias("unit"), F.coalesce("n_blocks", F.lit(1)).alias("n_blocks"), F.lit(-1).alias("band"), bare)
+    apart = placed.where("split").select("copy_id", "mark", "key", "copies").join(copies.select("key", "bands"), "key").join(shared.select("key", "band", "hash"), "key")
+    apart = lookup(apart, buckets.select("band", "hash", "n_blocks", "n"), ["band", "hash"], "n", buckets.agg(F.sum("n")).first()[0] or 0)
+    apart = apart.select("copy_id", "mark", "key", "copies", F.concat_ws(":", "band", "hash").alias("unit"), "n_blocks", "band", "bands")
+    return whole.unionByName(apart)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:

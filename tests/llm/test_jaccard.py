@@ -1,9 +1,11 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from sedimark.llm import jaccard
+from sedimark.operators import skew
 
 
 def grams(text, n=5):
@@ -49,15 +51,69 @@ def corpus():
     return rows + [(300, None), (301, ""), (302, " \n"), (303, "one two"), (304, "one two"), (305, "one"), (None, rows[5][1]), (None, "only null ids here in this one"), (7, rows[7][1]), (8, "an id that repeats with another text entirely")]
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK_CHARS, 3000])
-def test_matches_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,broadcast,least,share", [(jaccard.BLOCK_CHARS, 200_000, 200, 1000), (3000, 0, 3, 20)])
+def test_matches_brute_force(spark, monkeypatch, block, broadcast, least, share):
+    """Whole groups; then groups in blocks, texts by shuffle, and hot keys."""
     monkeypatch.setattr(jaccard, "BLOCK_CHARS", block)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(skew, "LEAST", least)
+    monkeypatch.setattr(skew, "SHARE", share)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS key", "1 AS copies", "2 AS grp")
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_classes(docs, recall=0.9999).collect())
     assert got == brute(rows)
 
 
+def chained():
+    """Neighbours of similarity about 0.85 in a long chain: one group by bands, though most pairs are far apart."""
+    rng = random.Random(8)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        rows.append((i, " ".join(w)))
+        for _ in range(2):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+    return rows
+
+
+def test_chained_groups_go_bucket_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_CHARS", 6000)
+    seen = []
+    real = jaccard._units
+    monkeypatch.setattr(jaccard, "_units", lambda *a: seen.append(real(*a)) or seen[0])
+    rows = chained()
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999).collect())
+    assert got == brute(rows)
+
+
+def test_bucket_units_are_taken(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_CHARS", 6000)
+    rows = chained()
+    copies = jaccard.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, 30, 6).selectExpr("key", "doc_id AS copy_id", "mark", "1L AS copies", "chars", "bands")
+    shared = jaccard._shared_buckets(copies, 30)
+    groups = jaccard.connected_components(shared.where("key != a").selectExpr("a", "key AS b").distinct()).selectExpr("node AS key", "component AS grp")
+    units = jaccard._units(groups.join(copies.drop("bands"), "key"), shared, copies)
+    assert units.where("band >= 0").count() > 160 and units.where("n_blocks > 1 AND band < 0").count() == 0
+
+
+def test_recall_of_production_bands():
+    """Of links by brute force at similarities from 0.8 to 0.9, the share that meets in a band."""
+    rng = random.Random(3)
+    bands, n_rows = jaccard.band_plan(0.8, 0.999)
+    family, met, links = jaccard._family(bands * n_rows), 0, 0
+    for _ in range(1500):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+        b = list(a)
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(len(b))] = "other"
+        x, y = grams(" ".join(a)), grams(" ".join(b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.9:
+            links += 1
+            h, k = (jaccard.band_hashes(g, bands, n_rows, family) for g in jaccard.gram_sets(pa.array([" ".join(a), " ".join(b)]), 5))
+            met += (h == k).any()
+    assert links > 500 and met >= 0.999 * links - 3 * (0.001 * links) ** 0.5  # three standard deviations of a sample
+
+
 def test_keep_one(spark):
     rows = corpus()
     kept = [r.doc_id for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
