@@ -16,7 +16,7 @@ def test_short_items_with_one_substitution(spark):
                 words[k] = "changed"
             d = 100 * n + k + 1
             docs.append((d, " ".join(["before", "it", *words, "after", "it"])))
-            if D.overlap(np.arange(n) != k)[2] >= min(13, math.ceil(0.8 * n)):
+            if D.overlaps((np.arange(n) != k)[None])[2][0] >= min(13, math.ceil(0.8 * n)):
                 want.add((d, n))
     bench = spark.createDataFrame(items, "item_id long, text string")
     table = spark.createDataFrame(docs, "doc_id long, text string")
