@@ -1,6 +1,10 @@
 from collections import defaultdict
 
+import pytest
+
+from sedimark.llm import line_dedup
 from sedimark.llm.line_dedup import dedup_lines
+from sedimark.operators import skew
 
 SCHEMA = "doc_id long, text string, source string, n_lines string, _id string"
 
@@ -9,7 +13,7 @@ def brute(rows, k):
     sites, first = defaultdict(set), {}
     for d, t, s in rows:
         for p, line in enumerate((t or "").split("\n") if t is not None else []):
-            if line.strip(" "):
+            if line.strip(line_dedup.BLANK):
                 if s is not None:
                     sites[line].add(s)
                 first[line] = min(first.get(line, (d, p)), (d, p))
@@ -19,7 +23,7 @@ def brute(rows, k):
             out[d] = (None, 0, 0)
             continue
         lines = t.split("\n")
-        kept = [x for p, x in enumerate(lines) if not (x.strip(" ") and len(sites[x]) >= k and first[x] != (d, p))]
+        kept = [x for p, x in enumerate(lines) if not (x.strip(line_dedup.BLANK) and len(sites[x]) >= k and first[x] != (d, p))]
         out[d] = ("\n".join(kept), len(lines), len(lines) - len(kept))
     return out
 
@@ -29,10 +33,16 @@ def rows_for(n=300):
     for i in range(n):
         text = [f"own line {i}", "on all sites", f"on {i % 12} sites" if i % 3 else "", "on nine" if i % 20 < 9 else "x" * (i + 1)]
         rows.append((i, "\n".join(text), f"s{i % 20}"))
+    rows += [(1000 + i, "\t \r\n\x0c\non all sites\r", f"s{i % 20}") for i in range(40)]  # white space stays, a line with \\r is a line of its own
     return rows + [(n, None, "s1"), (n + 1, "", "s2"), (n + 2, "on all sites", None), (n + 3, "on all sites\non all sites", "s3"), (n + 4, "z" * 200_000 + "\nlong", "s3")]
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("broadcast,least,share", [(200_000, 200, 1000), (0, 3, 20)])
+def test_matches_brute_force(spark, monkeypatch, broadcast, least, share):
+    """By broadcast; then by shuffle, but for hot lines."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(skew, "LEAST", least)
+    monkeypatch.setattr(skew, "SHARE", share)
     rows = rows_for()
     docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
     for k in (1, 9, 10, 20):
