@@ -1,7 +1,8 @@
 """Bottom-up matching of artifacts against the index with normalised inverse document frequency.
 
 ``edges``: child_type, child_id, parent_type, parent_id, uniq (distinct searched features below an inner child; 1 for
-a leaf). ``nodes``: node_type, node_id, filetype, licensed. Roots are parents of type branch or repo.
+a leaf). ``nodes``: node_type, node_id, filetype, licensed. Roots are parents of type branch or repo. An index is built
+of them once, and searched often.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sedimark.operators.index import ROOT_TYPES, reference_counts, type_counts
-from sedimark.session import materialize
+from sedimark.session import bucketed, materialize
 
 LEAF_TYPES = ("str", "var", "func", "funcname", "class", "normclass", "centroid")
 COUNTED = ("str", "var", "func", "funcname")
@@ -49,106 +50,147 @@ def child_idf(total: Column, refcnt: Column) -> Column:
     return F.when(refcnt > 0, F.try_divide(idf(total, refcnt), idf(total, F.lit(1))))
 
 
-def weighted_edges(edges: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """Written tables: all that a search reads."""
+
+    weighted: DataFrame  # inner edges with refcnt and idf, in buckets by child
+    leaf_totals: DataFrame  # by parent and type of leaf: children, and the sum of their idf
+    kids: DataFrame  # weighted edges of parents above files, with the child's attributes
+    refs: DataFrame  # refcnt of nodes that aren't leaves
+    roots: DataFrame  # node_type, node_id, root_type, root
+
+
+def weighted_edges(edges: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """Inner edges with the child's refcnt and its idf under that type of parent."""
     inner = edges.where(~F.col("parent_type").isin(*ROOT_TYPES))
     totals = type_counts(edges).select(F.col("child_type").alias("parent_type"), F.col("n_edges").alias("total"))
-    known = inner.join(reference_counts(edges), ["child_type", "child_id"], "left").join(F.broadcast(totals), "parent_type", "left")  # a row a type
+    known = inner.join(reference_counts(edges) if refs is None else refs, ["child_type", "child_id"], "left").join(F.broadcast(totals), "parent_type", "left")  # a row a type
     return known.withColumn("idf", child_idf(F.col("total"), F.col("refcnt"))).select("child_type", "child_id", "parent_type", "parent_id", "uniq", "refcnt", "idf")
 
 
-def leaf_level(query: DataFrame, weighted: DataFrame, nodes: DataFrame, refs: DataFrame, p: Params) -> DataFrame:
+def build_index(edges: DataFrame, nodes: DataFrame) -> Index:
+    """Edges are dealt by child once; counting and weighing them then moves nothing."""
+    by_child = ["child_type", "child_id"]
+    edges = bucketed(edges, "edges", by_child)
+    refs = bucketed(reference_counts(edges), "refs", by_child)
+    weighted = bucketed(weighted_edges(edges, refs), "weighted", by_child)
+    leaf = F.col("child_type").isin(*LEAF_TYPES)
+    totals = weighted.where(leaf).groupBy("parent_type", "parent_id", "child_type").agg(F.count("*").alias("kids"), F.sum("idf").alias("expected"))
+    attributes = nodes.select(F.col("node_type").alias("child_type"), F.col("node_id").alias("child_id"), "filetype", F.coalesce("licensed", F.lit(False)).alias("licensed"))
+    kids = weighted.where("parent_type <> 'file'").join(attributes, by_child, "left").withColumn("licensed", F.coalesce("licensed", F.lit(False)))
+    roots = edges.where(F.col("parent_type").isin(*ROOT_TYPES)).select(F.col("child_type").alias("node_type"), F.col("child_id").alias("node_id"), F.col("parent_type").alias("root_type"), F.col("parent_id").alias("root")).distinct()
+    return Index(weighted, materialize(totals, "totals"), materialize(kids, "kids"), materialize(refs.where(~leaf), "node-refs"), materialize(roots, "roots"))
+
+
+def _own_refs(index: Index) -> DataFrame:
+    return index.refs.select(F.col("child_type").alias("parent_type"), F.col("child_id").alias("parent_id"), F.col("refcnt").alias("own_ref"))
+
+
+def leaf_level(query: DataFrame, index: Index, p: Params) -> DataFrame:
     """The files an artifact's features lead to: artifact, node_type, node_id, freq, cnt, score, norm, ref, and counts by type.
 
     All children's idf sum is one figure per file, so unmatched children aren't joined for each artifact.
     """
-    leaves = weighted.where(F.col("child_type").isin(*p.leaf_types))
-    per_file = leaves.groupBy("parent_type", "parent_id").agg(F.count("*").alias("kids"), F.sum("idf").alias("expected"))
+    per_file = index.leaf_totals.where(F.col("child_type").isin(*p.leaf_types)).groupBy("parent_type", "parent_id").agg(F.sum("kids").alias("kids"), F.sum("expected").alias("expected"))
     wanted = query.select("artifact", "child_type", "child_id").distinct()
-    hits = wanted.join(leaves.where(F.col("refcnt") <= p.popular), ["child_type", "child_id"])
+    leaves = index.weighted.where(F.col("child_type").isin(*p.leaf_types) & (F.col("refcnt") <= p.popular))
+    hits = wanted.join(leaves, ["child_type", "child_id"])
     by_type = [F.count_if(F.col("child_type") == t).alias(f"g_{t}") for t in COUNTED]
     got = hits.groupBy("artifact", "parent_type", "parent_id").agg(F.count("*").alias("freq"), F.sum(F.greatest(F.col("idf"), F.lit(0.0))).alias("score"), *by_type)
     kept = got.join(per_file, ["parent_type", "parent_id"]).where(100.0 * F.col("freq") / F.col("kids") >= p.min_percent)
-    own = refs.select(F.col("child_type").alias("parent_type"), F.col("child_id").alias("parent_id"), F.col("refcnt").alias("ref"))
     norm = F.coalesce(F.try_divide(F.coalesce("score", F.lit(0.0)), "expected"), F.lit(0.0))
-    return kept.join(own, ["parent_type", "parent_id"], "left").select(
+    return kept.join(_own_refs(index), ["parent_type", "parent_id"], "left").select(
         "artifact", F.col("parent_type").alias("node_type"), F.col("parent_id").alias("node_id"), "freq", F.col("kids").alias("cnt"), F.col("freq").alias("gfreq"), F.col("kids").alias("gcnt"),
-        F.coalesce("score", F.lit(0.0)).alias("score"), norm.alias("norm"), F.coalesce("ref", F.lit(0)).cast("double").alias("ref"), *[f"g_{t}" for t in COUNTED], F.lit(0).alias("level"))
-
-
-def dir_level(matched: DataFrame, tree: DataFrame, weighted: DataFrame, nodes: DataFrame, refs: DataFrame, p: Params, level: int) -> DataFrame:
-    """The parents of ``matched`` nodes, scored over all of their children; ``tree`` holds every node scored so far."""
-    attributes = nodes.select(F.col("node_type").alias("child_type"), F.col("node_id").alias("child_id"), "filetype", "licensed")
-    climb = matched.select("artifact", F.col("node_type").alias("child_type"), F.col("node_id").alias("child_id"), F.col("ref").alias("m_ref")).join(attributes, ["child_type", "child_id"], "left")
-    climb = climb.where(~((F.col("child_type") == "dir") & F.coalesce("licensed", F.lit(False))))
-    found = climb.join(weighted.select("child_type", "child_id", "parent_type", "parent_id"), ["child_type", "child_id"])
-    parents = found.groupBy("artifact", "parent_type", "parent_id").agg(F.avg("m_ref").alias("mean_ref"))
-    kids = parents.join(weighted, ["parent_type", "parent_id"]).join(attributes, ["child_type", "child_id"], "left")
-    state = tree.select("artifact", F.col("node_type").alias("child_type"), F.col("node_id").alias("child_id"), "freq", "gfreq", "gcnt", "ref", *[f"g_{t}" for t in COUNTED])
-    kids = kids.join(state, ["artifact", "child_type", "child_id"], "left")
-    zero = F.lit(0)
-    kids = kids.withColumns({
-        "f": F.coalesce("freq", zero), "gf": F.coalesce("gfreq", zero), "gc": F.coalesce("gcnt", "uniq"), "r": F.coalesce("ref", F.coalesce("refcnt", zero).cast("double")),
-        **{f"g_{t}": F.coalesce(f"g_{t}", zero) for t in COUNTED},
-    })
-    per = Window.partitionBy("artifact", "parent_type", "parent_id")
-    kids = kids.withColumns({"n": F.count("*").over(per), "sum_r": F.sum("r").over(per)})
-    inner, isdir = F.col("child_type").isin("file", "dir"), F.col("parent_type") == "dir"
-    ratio = F.coalesce(F.try_divide(F.col("gf"), F.col("gc")), F.lit(0.0))
-    grouped = F.col("child_type").isin(*p.grouped_types)
-    rule = {
-        1: (F.col("child_type") == "file") & F.coalesce(F.col("filetype").isin("C", "CPP"), F.lit(False)) & (F.col("g_func") + F.col("g_funcname") < p.min_functions),
-        2: (F.col("child_type") == "dir") & F.coalesce("licensed", F.lit(False)),
-        3: grouped & (F.col("n") >= 2) & (F.col("r") >= p.refcnt_ratio * (F.col("sum_r") - F.col("r")) / (F.col("n") - 1)),
-        4: grouped & (ratio <= p.min_grouped),
+        F.coalesce("score", F.lit(0.0)).alias("score"), norm.alias("norm"), F.coalesce("own_ref", F.lit(0)).cast("double").alias("ref"), *[f"g_{t}" for t in COUNTED], F.lit(0).alias("level"))
+
+
+def _rules(p: Params, functions: Column, grouped_share: Column) -> list[Column]:
+    """Reasons, apart from popularity, to leave a child of a directory out of its grouped counts."""
+    fit = {
+        1: (F.col("child_type") == "file") & F.coalesce(F.col("filetype").isin("C", "CPP"), F.lit(False)) & (functions < p.min_functions),
+        2: (F.col("child_type") == "dir") & F.col("licensed"),
+        4: F.col("child_type").isin(*p.grouped_types) & (grouped_share <= p.min_grouped),
     }
+    return [fit[k] for k in p.rules if k in fit]
+
+
+def _any(conditions: list[Column]) -> Column:
     out = F.lit(False)
-    for k in p.rules:
-        out = out | rule[k]
-    kids = kids.withColumn("out", isdir & inner & out)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def dir_level(matched: DataFrame, tree: DataFrame, index: Index, p: Params, level: int) -> DataFrame:
+    """The parents of ``matched`` nodes, scored over all of their children; ``tree`` holds every node scored so far.
+
+    Children outside the tree aren't joined for each artifact: what they add is summed per parent, by refcnt where
+    popularity can rule them out, and corrected for the children that are in the tree.
+    """
+    zero, by_child, by_parent = F.lit(0), ["child_type", "child_id"], ["parent_type", "parent_id"]
+    judged = (F.col("parent_type") == "dir") & F.col("child_type").isin("file", "dir")
+    unseen_out = judged & _any(_rules(p, zero, F.lit(0.0)))
+    own = F.coalesce("refcnt", zero).cast("double")
+    may_be_popular = judged & F.col("child_type").isin(*p.grouped_types) & F.lit(3 in p.rules)
+    popular = lambda r: F.col("may") & (F.col("n") >= 2) & F.coalesce(r >= p.refcnt_ratio * (F.col("sum_r") - r) / (F.col("n") - 1), F.lit(False))
+    kids = index.kids.withColumns({"own": own, "may": may_be_popular, "counts": ~unseen_out})
+    per_parent = kids.groupBy(*by_parent).agg(F.count("*").alias("n"), F.sum("own").alias("own_sum"), F.sum("uniq").alias("cnt"))
+    unseen = kids.where("counts").groupBy(*by_parent, "may", F.when(F.col("may"), F.col("own")).alias("own")).agg(F.sum("uniq").alias("h_count"), F.sum(F.col("uniq") * F.col("idf")).alias("h_expected"))
+
+    climb = matched.select("artifact", F.col("node_type").alias("child_type"), F.col("node_id").alias("child_id"), F.col("ref").alias("m_ref"))
+    found = climb.join(kids.where(~((F.col("child_type") == "dir") & F.col("licensed"))).select(*by_child, *by_parent), by_child)
+    parents = found.groupBy("artifact", *by_parent).agg(F.avg("m_ref").alias("mean_ref")).join(per_parent, by_parent)
+    state = tree.select("artifact", F.col("node_type").alias("child_type"), F.col("node_id").alias("child_id"), F.col("freq").alias("f"), F.col("gfreq").alias("gf"), F.col("gcnt").alias("gc"), F.col("ref").alias("r"), *[f"g_{t}" for t in COUNTED])
+    seen = state.join(kids, by_child).join(parents, ["artifact", *by_parent])
+    sum_r = F.col("own_sum") + F.sum(F.col("r") - F.col("own")).over(Window.partitionBy("artifact", *by_parent))
+    share = F.coalesce(F.try_divide(F.col("gf"), F.col("gc")), F.lit(0.0))
+    seen = seen.withColumn("sum_r", sum_r)
+    seen = seen.withColumns({"out": (judged & _any(_rules(p, F.col("g_func") + F.col("g_funcname"), share))) | popular(F.col("r")), "was": F.col("counts") & ~popular(F.col("own"))})
     live = lambda c: F.sum(F.when(F.col("out"), zero).otherwise(c))
-    scored = kids.groupBy("artifact", "parent_type", "parent_id").agg(
-        F.sum(F.greatest(F.col("f"), zero)).alias("freq"), F.sum("uniq").alias("cnt"),
-        F.sum(F.col("gf") - F.when(F.col("out"), F.col("f")).otherwise(zero)).alias("gfreq"), live(F.col("gc")).alias("gcnt"),
-        F.coalesce(live(F.greatest(F.col("gf") * F.col("idf"), F.lit(0.0))), F.lit(0.0)).alias("score"), live(F.col("gc") * F.col("idf")).alias("expected"),
-        *[live(F.col(f"g_{t}")).alias(f"g_{t}") for t in COUNTED], F.first("mean_ref").alias("mean_ref"),
+    scored = seen.groupBy("artifact", *by_parent).agg(
+        F.sum(F.greatest(F.col("f"), zero)).alias("freq"), F.sum(F.col("gf") - F.when(F.col("out"), F.col("f")).otherwise(zero)).alias("gfreq"),
+        (live(F.col("gc")) - F.sum(F.when(F.col("was"), F.col("uniq")).otherwise(zero))).alias("live_count"),
+        (F.coalesce(live(F.col("gc") * F.col("idf")), F.lit(0.0)) - F.coalesce(F.sum(F.when(F.col("was"), F.col("uniq") * F.col("idf"))), F.lit(0.0))).alias("live_expected"),
+        F.coalesce(live(F.greatest(F.col("gf") * F.col("idf"), F.lit(0.0))), F.lit(0.0)).alias("score"),
+        *[live(F.col(f"g_{t}")).alias(f"g_{t}") for t in COUNTED], *[F.first(c).alias(c) for c in ("mean_ref", "cnt", "n", "sum_r")],
     )
-    own = refs.select(F.col("child_type").alias("parent_type"), F.col("child_id").alias("parent_id"), F.col("refcnt").alias("ref0"))
-    ref = F.coalesce("ref0", zero) + (F.col("mean_ref") if p.propagate else F.lit(0.0))
-    norm = F.coalesce(F.try_divide("score", "expected"), F.lit(0.0))
-    return scored.join(own, ["parent_type", "parent_id"], "left").select(
+    counted = F.when(popular(F.col("own")), F.lit(None)).otherwise
+    rest = scored.select("artifact", *by_parent, "n", "sum_r").join(unseen, by_parent).groupBy("artifact", *by_parent).agg(F.sum(counted(F.col("h_count"))).alias("rest_count"), F.sum(counted(F.col("h_expected"))).alias("rest_expected"))
+    ref = F.coalesce("own_ref", zero) + (F.col("mean_ref") if p.propagate else F.lit(0.0))
+    full = scored.join(rest, ["artifact", *by_parent], "left").withColumns({"gcnt": F.col("live_count") + F.coalesce("rest_count", zero), "expected": F.col("live_expected") + F.coalesce("rest_expected", F.lit(0.0))})
+    # a sum of nothing but corrections is 0, whatever rounding leaves of it
+    norm = F.coalesce(F.when(F.abs("expected") > 1e-9, F.col("score") / F.col("expected")), F.lit(0.0))
+    return full.join(_own_refs(index), by_parent, "left").select(
         "artifact", F.col("parent_type").alias("node_type"), F.col("parent_id").alias("node_id"), "freq", "cnt", "gfreq", "gcnt",
         "score", norm.alias("norm"), ref.cast("double").alias("ref"), *[f"g_{t}" for t in COUNTED], F.lit(level).alias("level"))
 
 
-def search(query: DataFrame, edges: DataFrame, nodes: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+def search(query: DataFrame, index: Index, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(tree, roots): every scored node, the latest level's score where one is met twice, and the accepted roots.
 
     Levels follow each other until no node survives; each level is a table in the shared folder, so lineage stays
     short and a lost executor costs its tasks only. The number of levels is the depth of the paths.
     """
-    weighted = materialize(weighted_edges(edges), "weighted")
-    refs = materialize(reference_counts(edges), "refs")
-    tree = materialize(leaf_level(query, weighted, nodes, refs, p), "level")
+    tree = materialize(leaf_level(query, index, p), "level")
     current, level = tree, 0
     while level < p.max_levels:
         survivors = current.where(F.col("norm") > p.low_score)
         if survivors.isEmpty():
             break
         level += 1
-        current = materialize(dir_level(survivors, tree, weighted, nodes, refs, p, level), "level")
+        current = materialize(dir_level(survivors, tree, index, p, level), "level")
         newest = current.select("artifact", "node_type", "node_id")
         tree = tree.join(newest, ["artifact", "node_type", "node_id"], "left_anti").unionByName(current)
         if level % 8 == 0:
             tree = materialize(tree, "tree")
-    return tree, accept(tree.where(F.col("norm") > p.low_score), edges, p)
+    return tree, accept(tree.where(F.col("norm") > p.low_score), index, p)
 
 
-def accept(survivors: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
+def accept(survivors: DataFrame, index: Index, p: Params) -> DataFrame:
     """Roots of surviving nodes that meet the limits on features, functions and score."""
-    roots = edges.where(F.col("parent_type").isin(*ROOT_TYPES)).select(F.col("child_type").alias("node_type"), F.col("child_id").alias("node_id"), F.col("parent_type").alias("root_type"), F.col("parent_id").alias("root")).distinct()
     fit = (F.col("gcnt") >= p.min_features) & (F.col("g_func") + F.col("g_funcname") >= p.min_functions) & (F.col("norm") >= p.accept_score)
-    return survivors.where(fit).join(roots, ["node_type", "node_id"]).select("artifact", "root_type", "root", F.col("gfreq").alias("featfreq"), F.col("gcnt").alias("featcnt"), "score", "norm", *[f"g_{t}" for t in COUNTED])
+    return survivors.where(fit).join(index.roots, ["node_type", "node_id"]).select("artifact", "root_type", "root", F.col("gfreq").alias("featfreq"), F.col("gcnt").alias("featcnt"), "score", "norm", *[f"g_{t}" for t in COUNTED])
 
 
 def top_versions(matches: DataFrame, by: list[str], order: list[Column], n: int = 5) -> DataFrame:

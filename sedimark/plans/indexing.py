@@ -9,7 +9,7 @@ from sedimark.functions import hashing as H
 from sedimark.functions import scalar as S
 from sedimark.operators import index as I
 from sedimark.plans.base import TOKENS_SQL, Section
-from sedimark.session import table
+from sedimark.session import materialize, once, table
 
 section = Section()
 q = section.add
@@ -20,10 +20,14 @@ TYPE_SQL = "CASE length(token) % 3 WHEN 0 THEN 'str' WHEN 1 THEN 'func' ELSE 'fu
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, lang, doc_id, token, freq: the text corpus's features."""
-    docs = table(spark, sf_dir, "documents")
-    words = docs.select("source", "lang", "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("token"))
-    return words.groupBy("source", "lang", "doc_id", "token").agg(F.count("*").alias("freq"))
+    """source, lang, doc_id, token, freq: the text corpus's features, words of ASCII letters as in a feature list; written once."""
+
+    def build() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        words = docs.select("source", "lang", "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("token"))
+        return materialize(words.groupBy("source", "lang", "doc_id", "token").agg(F.count("*").alias("freq")), "features")
+
+    return once(spark, sf_dir, "documents", "features", build)
 
 
 def corpus_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from sedimark.operators import match as M
 from sedimark.operators.index import reference_counts
 from sedimark.plans.base import Section
 from sedimark.plans.indexing import EDGES_SQL, TYPE_SQL, corpus_edges, features
-from sedimark.session import table
+from sedimark.session import once, table
 
 section = Section()
 q = section.add
@@ -99,9 +99,13 @@ def _round(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def _parts(spark: SparkSession, sf_dir: str):
-    edges, nodes = corpus(spark, sf_dir)
-    return passages(spark, sf_dir), edges, nodes, M.weighted_edges(edges), reference_counts(edges)
+def index_of(spark: SparkSession, sf_dir: str) -> M.Index:
+    """The text corpus's index, built by the first query that needs it."""
+    return once(spark, sf_dir, "documents", "index", lambda: M.build_index(*corpus(spark, sf_dir)))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, M.Index]:
+    return passages(spark, sf_dir), index_of(spark, sf_dir)
 
 
 @q("SELECT n AS total, k AS matching, round(CASE WHEN n > 0 THEN ln(n / (1.0 + k)) END, 6) AS idf FROM (SELECT p_partkey AS n, p_size::BIGINT AS k FROM part)")
@@ -123,15 +127,15 @@ def tfidf_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q(f"WITH {BASE_SQL} SELECT child_type, child_id, parent_type, min(refcnt) AS refcnt, round(min(idf), 6) AS idf FROM w GROUP BY 1, 2, 3")
 def child_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every child's normalised idf under each type of parent."""
-    w = M.weighted_edges(corpus(spark, sf_dir)[0])
+    w = index_of(spark, sf_dir).weighted
     return w.groupBy("child_type", "child_id", "parent_type").agg(F.min("refcnt").alias("refcnt"), F.round(F.min("idf"), 6).alias("idf"))
 
 
 @q(f"WITH {BASE_SQL} SELECT artifact, parent_id, count(*) AS matched FROM q JOIN w USING (child_type, child_id) GROUP BY 1, 2")
 def match_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverted-index look-up: features to the files that have them."""
-    query, _, _, w, _ = _parts(spark, sf_dir)
-    return query.join(w, ["child_type", "child_id"]).groupBy("artifact", "parent_id").agg(F.count("*").alias("matched"))
+    query, index = _parts(spark, sf_dir)
+    return query.join(index.weighted, ["child_type", "child_id"]).groupBy("artifact", "parent_id").agg(F.count("*").alias("matched"))
 
 
 @q(f"WITH {BASE_SQL} SELECT child_type, child_id, refcnt FROM refs WHERE refcnt > 200")
@@ -143,26 +147,25 @@ def popular_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q(f"WITH {BASE_SQL}, {level0_sql(P)} SELECT artifact, node_id, freq, cnt FROM t0")
 def ratio_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of which a large enough share is matched."""
-    query, _, nodes, w, refs = _parts(spark, sf_dir)
-    return M.leaf_level(query, w, nodes, refs, P).select("artifact", "node_id", "freq", "cnt")
+    return M.leaf_level(*_parts(spark, sf_dir), P).select("artifact", "node_id", "freq", "cnt")
 
 
 @q(f"WITH {BASE_SQL}, {level0_sql(LOOSE)}, m AS (SELECT DISTINCT artifact, node_id FROM t0), k AS (SELECT artifact, node_id, w.child_type, w.child_id FROM m JOIN w ON w.parent_type = 'file' AND w.parent_id = m.node_id) "
    "SELECT k.artifact, k.node_id, count(*) FILTER (q.child_id IS NULL) AS unmatched, count(*) AS kids FROM k LEFT JOIN q ON q.artifact = k.artifact AND q.child_type = k.child_type AND q.child_id = k.child_id GROUP BY 1, 2")
 def unmatched_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All children of the matched files, and how many of them aren't matched."""
-    query, _, nodes, w, refs = _parts(spark, sf_dir)
-    files = M.leaf_level(query, w, nodes, refs, LOOSE).select("artifact", "node_id")
-    kids = files.join(w.where("parent_type = 'file'").select(col("parent_id").alias("node_id"), "child_type", "child_id"), "node_id")
+    query, index = _parts(spark, sf_dir)
+    files = M.leaf_level(query, index, LOOSE).select("artifact", "node_id")
+    kids = files.join(index.weighted.where("parent_type = 'file'").select(col("parent_id").alias("node_id"), "child_type", "child_id"), "node_id")
     joined = kids.join(query.withColumn("hit", F.lit(1)), ["artifact", "child_type", "child_id"], "left")
     return joined.groupBy("artifact", "node_id").agg(F.count_if(col("hit").isNull()).alias("unmatched"), F.count("*").alias("kids"))
 
 
 def _one_level(p: M.Params):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        query, _, nodes, w, refs = _parts(spark, sf_dir)
-        leaf = M.leaf_level(query, w, nodes, refs, p)
-        return M.dir_level(leaf.where(col("norm") > p.low_score), leaf, w, nodes, refs, p, 1)
+        query, index = _parts(spark, sf_dir)
+        leaf = M.leaf_level(query, index, p)
+        return M.dir_level(leaf.where(col("norm") > p.low_score), leaf, index, p, 1)
 
     return run
 
@@ -186,14 +189,12 @@ for _name, _rule in (("rule_no_func", 1), ("rule_licensed_dir", 2), ("rule_popul
 @q(f"WITH {BASE_SQL}, {level0_sql(P)} SELECT artifact, node_id, freq, cnt, round(score, 6) AS score, round(norm, 6) AS norm FROM t0 WHERE norm > {P.low_score}")
 def filter_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose normalised score lets them climb."""
-    query, _, nodes, w, refs = _parts(spark, sf_dir)
-    return _round(M.leaf_level(query, w, nodes, refs, P).where(col("norm") > P.low_score).select("artifact", "node_id", "freq", "cnt", "score", "norm"), "score", "norm")
+    return _round(M.leaf_level(*_parts(spark, sf_dir), P).where(col("norm") > P.low_score).select("artifact", "node_id", "freq", "cnt", "score", "norm"), "score", "norm")
 
 
 def _tree(p: M.Params):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        edges, nodes = corpus(spark, sf_dir)
-        return M.search(passages(spark, sf_dir), edges, nodes, p)
+        return M.search(*_parts(spark, sf_dir), p)
 
     return run
 
@@ -270,8 +271,7 @@ def lgpl_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every benchmark passage, the files that match it best by normalised score, and their source."""
-    edges, nodes = corpus(spark, sf_dir)
-    tree, _ = M.search(passages(spark, sf_dir), edges, nodes, M.Params(**{**LOOSE.__dict__, "low_score": 0.1}))
+    tree, _ = M.search(*_parts(spark, sf_dir), M.Params(**{**LOOSE.__dict__, "low_score": 0.1}))
     files = tree.where("node_type = 'file'").select("artifact", col("node_id").alias("doc_id"), "freq", "cnt", F.round("norm", 6).alias("norm"))
     best = M.top_versions(files, ["artifact"], [col("norm").desc(), col("doc_id")], 5)
     docs = table(spark, sf_dir, "documents").select(col("doc_id").cast("string").alias("doc_id"), "source")

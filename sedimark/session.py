@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where one machine does everything and the session names no shared folder, as in tests.
 LOCAL_SHARED_DIR = "file:///tmp/sedimark-shared"
 
-#: Folders of this application that still have to go.
+#: Folders of this application that still have to go, and those of them that all its queries share.
 _written: dict[str, SparkSession] = {}
+_lasting: set[str] = set()
+_built: dict[tuple, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,30 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, tag: str, by: list[str]) -> DataFrame:
+    """Like ``materialize``, hashed into buckets by columns, so that joins and groups by these need no shuffle."""
+    spark = df.sparkSession
+    path, buckets = new_path(spark, tag), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"sedimark_{uuid.uuid4().hex}"
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._materialized_at = path
+    return out
+
+
+def once[T](spark: SparkSession, sf_dir: str, source: str, what: str, build: Callable[[], T]) -> T:
+    """What ``build`` makes of the table ``source``, built once by an application for each state of the table's files."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.getContentSummary(where)
+    key = (spark.sparkContext.applicationId, sf_dir, source, fs.getFileStatus(where).getModificationTime(), files.getLength(), files.getFileCount(), what)
+    if key not in _built:
+        known = set(_written)
+        _built[key] = build()
+        _lasting.update(p for p in _written if p not in known)
+    return _built[key]
+
+
 def release(df: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more; other DataFrames are left alone."""
     path = getattr(df, "_materialized_at", None)
@@ -67,7 +93,7 @@ def stage(*last: DataFrame) -> Iterator[list[DataFrame]]:
     known, kept = set(_written), []
     yield kept
     keep = {getattr(df, "_materialized_at", None) for df in kept}
-    for path in [p for p in _written if p not in known and p not in keep]:
+    for path in [p for p in _written if p not in known and p not in keep and p not in _lasting]:
         _discard(path)
     for df in last:
         release(df)

@@ -139,10 +139,10 @@ def model(edges, nodes, query, p):
                 gf, gc, score, expected, fn = sum(s["gf"] for s in st.values()), 0, 0.0, 0.0, 0
                 for c in ks:
                     s, (kind, lic) = st[c], nodes.get(c, (None, False))
-                    bad = c[0] == "file" and kind in ("C", "CPP") and s["fn"] < p.min_functions
-                    bad |= c[0] == "dir" and lic
-                    bad |= len(ks) >= 2 and ref[c] >= p.refcnt_ratio * (sum(ref.values()) - ref[c]) / (len(ks) - 1)
-                    bad |= (s["gf"] / s["gc"] if s["gc"] else 0) <= p.min_grouped
+                    bad = 1 in p.rules and c[0] == "file" and kind in ("C", "CPP") and s["fn"] < p.min_functions
+                    bad |= 2 in p.rules and c[0] == "dir" and lic
+                    bad |= 3 in p.rules and len(ks) >= 2 and ref[c] >= p.refcnt_ratio * (sum(ref.values()) - ref[c]) / (len(ks) - 1)
+                    bad |= 4 in p.rules and (s["gf"] / s["gc"] if s["gc"] else 0) <= p.min_grouped
                     if bad:
                         gf -= s["f"]
                         continue
@@ -158,8 +158,8 @@ def model(edges, nodes, query, p):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_search_follows_the_model(spark, seed):
+@pytest.mark.parametrize("seed,rules,ratio", [(0, (1, 2, 3, 4), 2.0), (1, (1, 2, 3, 4), 1.1), (2, (2, 3), 1.05), (3, (1, 3), 1.3), (4, (2, 4), 2.0), (5, (), 2.0)])
+def test_search_follows_the_model(spark, seed, rules, ratio):
     rng = random.Random(seed)
     edges, nodes = [], {}
     for f in range(30):
@@ -175,11 +175,11 @@ def test_search_follows_the_model(spark, seed):
     for r in range(3):
         edges.append(("dir", f"r{r}", "repo", f"repo{r}", 1))
     query = [(a, ("str", "func", "funcname")[t % 3], f"t{t}") for a in range(4) for t in rng.sample(range(70), 30)]
-    p = match.Params(low_score=0.15, min_features=1, min_functions=1, accept_score=0.1)
+    p = match.Params(low_score=0.15, min_features=1, min_functions=1, accept_score=0.1, rules=rules, refcnt_ratio=ratio)
     e = spark.createDataFrame(edges, "child_type string, child_id string, parent_type string, parent_id string, uniq long")
     n = spark.createDataFrame([(*k, *v) for k, v in nodes.items()], "node_type string, node_id string, filetype string, licensed boolean")
     q = spark.createDataFrame(query, "artifact long, child_type string, child_id string")
-    tree, roots = match.search(q, e, n, p)
+    tree, roots = match.search(q, match.build_index(e, n), p)
     got = {(r.artifact, r.node_type, r.node_id): (r.freq, r.cnt, r.gfreq, r.gcnt, round(r.norm, 9), round(r.ref, 9)) for r in tree.collect()}
     assert got == model(edges, nodes, query, p) and any(k[2].startswith("r") for k in got)
     assert all(r.norm >= 0.1 for r in roots.collect())
