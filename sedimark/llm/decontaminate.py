@@ -27,7 +27,7 @@ MASKS = ("110110101", "101101011", "11010011011")
 #: Bytes of test items in one broadcast block, in the mean; more items make more blocks, each met with all texts.
 BLOCK_BYTES = 4_000_000
 #: Window pairs, or compared words, that are held at once.
-CELLS = 2_000_000
+CELLS = 500_000
 _FILTER_BITS = 20
 #: Scripts written without spaces: each of their characters is a word.
 _UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
@@ -198,7 +198,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
             index = _index(name, sent.value, masks, whole)
-            for batch in bounded(batches, "text"):
+            for batch in bounded(batches, "text", 1 << 20):
                 best = _best_overlaps(index, batch.column(1), min_words, whole)
                 if len(best):
                     row, item, *rest = best.T
@@ -227,7 +227,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
             index = _index(name, sent.value, masks, whole)
-            for batch in bounded(batches, text_col):
+            for batch in bounded(batches, text_col, 1 << 20):
                 keep = np.ones(batch.num_rows, bool)
                 keep[_best_overlaps(index, batch.column(at), min_words, whole)[:, 0]] = False
                 fit = batch.filter(pa.array(keep))

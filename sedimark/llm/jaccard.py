@@ -29,6 +29,8 @@ from sedimark.session import materialize, release
 
 #: Characters of text in one block of a large group, in the mean; a task holds two blocks.
 BLOCK_CHARS = 4_000_000
+#: Classes in one block, in the mean.
+BLOCK_ROWS = 500
 #: Rows of (id, text hash, group) that may be broadcast to pick the texts to verify; beyond, texts go by shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows of MinHash values beyond which more rows to a band aren't considered.
@@ -97,7 +99,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _family(bands * rows)
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 1 << 20):
             sets = gram_sets(batch.column(1), n)
             keys = [set_key(s) for s in sets]
             values = [band_hashes(s, bands, rows, family).view(np.int64) if len(s) else None for s in sets]
@@ -222,7 +224,7 @@ def _shared_buckets(copies: DataFrame, bands: int) -> DataFrame:
 
 
 def _blocks(chars: str) -> Column:
-    return F.ceil(F.col(chars) / BLOCK_CHARS).cast("int")
+    return F.ceil(F.greatest(F.col(chars) / BLOCK_CHARS, F.col("n") / BLOCK_ROWS)).cast("int")
 
 
 def _units(members: DataFrame, shared: DataFrame, copies: DataFrame) -> DataFrame:
