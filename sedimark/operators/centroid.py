@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sedimark.functions.scalar import cut_to_digits, cut_to_scale
 
@@ -81,6 +84,29 @@ def grid_bin(x: Column, d: float = 0.01) -> tuple[Column, Column]:
     return low, low + step
 
 
+def cell_join(queries: DataFrame, index: DataFrame, query_id: str, index_id: str, dims: Sequence[str], d: float = 0.01, digits: int = 6) -> DataFrame:
+    """(query_id, index_id) of rows whose grid cell is one of a query's: the lower bin at the index, both bins in each dimension at a query.
+
+    A query has 2**len(dims) cells, 256 at eight dimensions, and meets the index by equality; rows with a value that isn't positive have none.
+    """
+    positive = F.lit(True)
+    for c in dims:
+        positive = positive & (F.col(c) > 0)
+
+    def binned(df: DataFrame, key: str) -> DataFrame:
+        return df.where(positive).select(key, *[F.round(x, digits).alias(f"_{side}{i}") for i, c in enumerate(dims) for side, x in zip("lh", grid_bin(F.col(c), d), strict=True)])
+
+    def extended(cells: Column, low: Column, high: Column) -> Column:
+        return F.flatten(F.transform(cells, lambda x: F.array(F.array_append(x, low), F.array_append(x, high))))
+
+    corners = F.array(F.array().cast("array<double>"))
+    for i in range(len(dims)):
+        corners = extended(corners, F.col(f"_l{i}"), F.col(f"_h{i}"))
+    left = binned(queries, query_id).select(query_id, F.explode(F.array_distinct(corners)).alias("cell"))
+    right = binned(index, index_id).select(index_id, F.array(*[F.col(f"_l{i}") for i in range(len(dims))]).alias("cell"))
+    return left.join(right, "cell").select(query_id, index_id)
+
+
 def selective(pairs: DataFrame, query_id: str, most: int) -> DataFrame:
     """Pairs of queries that match ``most`` rows at most; a limit below 0 lets all pass."""
     if most < 0:
@@ -94,19 +120,37 @@ def number_blocks(blocks: DataFrame, method: str = "method") -> DataFrame:
 
     Input rows: method, block, stmts, digest, successors. Successors are visited by falling (successors, predecessors,
     statements, digest, block); a join point follows the branches that lead to it, at the nearest block that all paths
-    pass. Blocks that the entry, the smallest block, doesn't reach have no number. One method is one group; its blocks are few.
+    pass. Blocks that the entry, the smallest block, doesn't reach have no number. Methods pass one by one, sorted; a method's blocks are few.
     """
-    id_type = blocks.schema[method].dataType.simpleString()
-    return blocks.groupBy(method).applyInPandas(lambda f: _number(f, method), f"{method} {id_type}, block int, seq int")
+    field = blocks.schema[method]
+    kind = to_arrow_type(field.dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        out: list[tuple] = []
+        for m, own in groupby(rows, key=itemgetter("m")):
+            out += [(m, b, n) for b, n in _number(list(own)).items()]
+            if len(out) > 10_000:
+                yield _batch(out, kind)
+                out = []
+        yield _batch(out, kind)
+
+    sorted_blocks = blocks.select(F.col(method).alias("m"), "block", "stmts", "digest", "successors").repartition("m").sortWithinPartitions("m")
+    return sorted_blocks.mapInArrow(run, f"m {field.dataType.simpleString()}, block int, seq int").withColumnRenamed("m", method)
+
+
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["m", "block", "seq"])
 
 
-def _number(frame: pd.DataFrame, method: str) -> pd.DataFrame:
-    succ = {int(b): [int(s) for s in x] for b, x in zip(frame["block"], frame["successors"], strict=True)}
+def _number(rows: list[dict]) -> dict[int, int]:
+    succ = {r["block"]: list(r["successors"]) for r in rows}
     pred: dict[int, set[int]] = {b: set() for b in succ}
     for b, xs in succ.items():
         for s in xs:
             pred[s].add(b)
-    info = {int(b): (int(n), str(d)) for b, n, d in zip(frame["block"], frame["stmts"], frame["digest"], strict=True)}
+    info = {r["block"]: (r["stmts"], r["digest"]) for r in rows}
     after = _post_dominators(succ)
     seq: dict[int, int] = {}
     stack: list[tuple[int, int | None]] = [(min(succ), None)]
@@ -120,7 +164,7 @@ def _number(frame: pd.DataFrame, method: str) -> pd.DataFrame:
             stack.append((join, stop))
         order = sorted(set(succ[node]), key=lambda s: (len(succ[s]), len(pred[s]), *info[s], s))
         stack += [(s, join if join is not None else stop) for s in order]
-    return pd.DataFrame({method: [frame[method].iat[0]] * len(seq), "block": list(seq), "seq": list(seq.values())})
+    return seq
 
 
 def _post_dominators(succ: dict[int, list[int]]) -> dict[int, int | None]:

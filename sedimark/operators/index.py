@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sedimark.functions.hashing import hamming
+from sedimark.functions.hashing import hamming_join
+from sedimark.session import materialize
 
 #: Parents that don't count as references of a child.
 ROOT_TYPES = ("branch", "repo")
@@ -62,19 +63,16 @@ def version_unique(facts: DataFrame, software: str, version: str, feature: str)
 def near_pairs_by_child(edges: DataFrame, value: str, most: int = 5, popular: int = 2000) -> DataFrame:
     """(a, b, distance): parents of one child whose values differ in ``most`` bits at most; popular children link nothing.
 
-    Beside the child the parents meet on one of ``most`` + 1 equal chunks of their values, so a popular child's
-    parents aren't all paired.
+    Near values are found first, by equal chunks, and only their children are compared; the result has all pairs of a
+    group of copies by definition, and so grows with its square.
     """
     base = edges.select("child_id", "parent_id", F.col(value).alias("v")).distinct()
     rare = base.groupBy("child_id").agg(F.count("*").alias("n")).where((F.col("n") <= popular) & (F.col("n") > 1)).select("child_id")
     base = base.join(rare, "child_id", "left_semi")
-    bounds = [64 * i // (most + 1) for i in range(most + 2)]
-    chunks = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("v", bounds[i]).bitwiseAND(F.lit((1 << (bounds[i + 1] - bounds[i])) - 1)).alias("c")) for i in range(most + 1)]
-    cut = base.select("child_id", "parent_id", "v", F.explode(F.array(*chunks)).alias("k")).select("child_id", "parent_id", "v", "k.i", "k.c")
-    left, right = cut.alias("l"), cut.alias("r")
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("child_id", "i", "c")] + [F.col("l.parent_id") < F.col("r.parent_id")]
-    d = hamming(F.col("l.v"), F.col("r.v"))
-    return left.join(right, on).where(d <= most).select(F.col("l.parent_id").alias("a"), F.col("r.parent_id").alias("b"), d.cast("int").alias("distance")).distinct()
+    values = base.select("parent_id", "v").distinct()
+    pairs = hamming_join(values, values, "parent_id", "parent_id", "v", most).where("a < b")
+    shared = pairs.join(base.select(F.col("parent_id").alias("a"), "child_id"), "a").join(base.select(F.col("parent_id").alias("b"), "child_id"), ["b", "child_id"], "left_semi")
+    return shared.select("a", "b", "distance").distinct()
 
 
 def best_candidate(rows: DataFrame, by: Sequence[str], candidate: str, weight: str) -> DataFrame:
@@ -90,6 +88,23 @@ def first_by(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def dealt(rows: DataFrame, order: Sequence[str], shares: int, name: str) -> DataFrame:
+    """Rows with the number, from 1, of their share: equal stretches of the whole order, the first ones longer by a row.
+
+    Rows are sorted by range into partitions and ranked within them; only the partitions' sizes meet in one place.
+    """
+    placed = materialize(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumns({"_before": before, "_total": F.sum("_n").over(Window.partitionBy())})
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    ranked = placed.withColumn("_rank", rank).join(F.broadcast(starts), "_part").withColumn("_rank", F.col("_rank") + F.col("_before"))
+    size, longer = F.floor(F.col("_total") / shares), F.col("_total") % shares
+    long_rows = longer * (size + 1)
+    share = F.when(F.col("_rank") < long_rows, F.floor(F.col("_rank") / (size + 1))).otherwise(longer + F.floor((F.col("_rank") - long_rows) / F.greatest(size, F.lit(1))))
+    return ranked.select(*rows.columns, (share + 1).cast("long").alias(name))
+
+
 def thin_tags(tags: DataFrame, repo: str, tag: str, date: str, months: int = 3, keep: int = 8) -> DataFrame:
     """Of each repository the newest tag of each stretch of ``months`` before its newest tag, of the newest ``keep`` stretches."""
     newest = F.max(date).over(Window.partitionBy(repo))

@@ -122,6 +122,30 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
+def _unseen(index: Index, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(kids, per_parent): edges above files with what a child outside a tree is judged by, and each parent's sums."""
+    zero = F.lit(0)
+    judged = (F.col("parent_type") == "dir") & F.col("child_type").isin("file", "dir")
+    may_be_popular = judged & F.col("child_type").isin(*p.grouped_types) & F.lit(3 in p.rules)
+    out = judged & _any(_rules(p, zero, F.lit(0.0)))
+    kids = index.kids.withColumns({"own": F.coalesce("refcnt", zero).cast("double"), "judged": judged, "may": may_be_popular, "counts": ~out})
+    return kids, kids.groupBy("parent_type", "parent_id").agg(F.count("*").alias("n"), F.sum("own").alias("own_sum"), F.sum("uniq").alias("cnt"))
+
+
+def _popular(p: Params, r: Column) -> Column:
+    """Whether a child with this refcnt is far more popular than its siblings are in the mean."""
+    return F.col("may") & (F.col("n") >= 2) & F.coalesce(r >= p.refcnt_ratio * (F.col("sum_r") - r) / (F.col("n") - 1), F.lit(False))
+
+
+def _seen(parents: DataFrame, tree: DataFrame, kids: DataFrame, p: Params) -> DataFrame:
+    """The children in the tree of (artifact, parent, n, own_sum) rows, and whether rules leave them ``out``."""
+    state = tree.select("artifact", F.col("node_type").alias("child_type"), F.col("node_id").alias("child_id"), F.col("freq").alias("f"), F.col("gfreq").alias("gf"), F.col("gcnt").alias("gc"), F.col("ref").alias("r"), *[f"g_{t}" for t in COUNTED])
+    seen = state.join(kids, ["child_type", "child_id"]).join(parents, ["artifact", "parent_type", "parent_id"])
+    seen = seen.withColumn("sum_r", F.col("own_sum") + F.sum(F.col("r") - F.col("own")).over(Window.partitionBy("artifact", "parent_type", "parent_id")))
+    share = F.coalesce(F.try_divide(F.col("gf"), F.col("gc")), F.lit(0.0))
+    return seen.withColumn("out", (F.col("judged") & _any(_rules(p, F.col("g_func") + F.col("g_funcname"), share))) | _popular(p, F.col("r")))
+
+
 def dir_level(matched: DataFrame, tree: DataFrame, index: Index, p: Params, level: int) -> DataFrame:
     """The parents of ``matched`` nodes, scored over all of their children; ``tree`` holds every node scored so far.
 
@@ -129,24 +153,13 @@ def dir_level(matched: DataFrame, tree: DataFrame, index: Index, p: Params, leve
     popularity can rule them out, and corrected for the children that are in the tree.
     """
     zero, by_child, by_parent = F.lit(0), ["child_type", "child_id"], ["parent_type", "parent_id"]
-    judged = (F.col("parent_type") == "dir") & F.col("child_type").isin("file", "dir")
-    unseen_out = judged & _any(_rules(p, zero, F.lit(0.0)))
-    own = F.coalesce("refcnt", zero).cast("double")
-    may_be_popular = judged & F.col("child_type").isin(*p.grouped_types) & F.lit(3 in p.rules)
-    popular = lambda r: F.col("may") & (F.col("n") >= 2) & F.coalesce(r >= p.refcnt_ratio * (F.col("sum_r") - r) / (F.col("n") - 1), F.lit(False))
-    kids = index.kids.withColumns({"own": own, "may": may_be_popular, "counts": ~unseen_out})
-    per_parent = kids.groupBy(*by_parent).agg(F.count("*").alias("n"), F.sum("own").alias("own_sum"), F.sum("uniq").alias("cnt"))
+    kids, per_parent = _unseen(index, p)
     unseen = kids.where("counts").groupBy(*by_parent, "may", F.when(F.col("may"), F.col("own")).alias("own")).agg(F.sum("uniq").alias("h_count"), F.sum(F.col("uniq") * F.col("idf")).alias("h_expected"))
 
     climb = matched.select("artifact", F.col("node_type").alias("child_type"), F.col("node_id").alias("child_id"), F.col("ref").alias("m_ref"))
     found = climb.join(kids.where(~((F.col("child_type") == "dir") & F.col("licensed"))).select(*by_child, *by_parent), by_child)
     parents = found.groupBy("artifact", *by_parent).agg(F.avg("m_ref").alias("mean_ref")).join(per_parent, by_parent)
-    state = tree.select("artifact", F.col("node_type").alias("child_type"), F.col("node_id").alias("child_id"), F.col("freq").alias("f"), F.col("gfreq").alias("gf"), F.col("gcnt").alias("gc"), F.col("ref").alias("r"), *[f"g_{t}" for t in COUNTED])
-    seen = state.join(kids, by_child).join(parents, ["artifact", *by_parent])
-    sum_r = F.col("own_sum") + F.sum(F.col("r") - F.col("own")).over(Window.partitionBy("artifact", *by_parent))
-    share = F.coalesce(F.try_divide(F.col("gf"), F.col("gc")), F.lit(0.0))
-    seen = seen.withColumn("sum_r", sum_r)
-    seen = seen.withColumns({"out": (judged & _any(_rules(p, F.col("g_func") + F.col("g_funcname"), share))) | popular(F.col("r")), "was": F.col("counts") & ~popular(F.col("own"))})
+    seen = _seen(parents, tree, kids, p).withColumn("was", F.col("counts") & ~_popular(p, F.col("own")))
     live = lambda c: F.sum(F.when(F.col("out"), zero).otherwise(c))
     scored = seen.groupBy("artifact", *by_parent).agg(
         F.sum(F.greatest(F.col("f"), zero)).alias("freq"), F.sum(F.col("gf") - F.when(F.col("out"), F.col("f")).otherwise(zero)).alias("gfreq"),
@@ -155,7 +168,7 @@ def dir_level(matched: DataFrame, tree: DataFrame, index: Index, p: Params, leve
         F.coalesce(live(F.greatest(F.col("gf") * F.col("idf"), F.lit(0.0))), F.lit(0.0)).alias("score"),
         *[live(F.col(f"g_{t}")).alias(f"g_{t}") for t in COUNTED], *[F.first(c).alias(c) for c in ("mean_ref", "cnt", "n", "sum_r")],
     )
-    counted = F.when(popular(F.col("own")), F.lit(None)).otherwise
+    counted = F.when(_popular(p, F.col("own")), F.lit(None)).otherwise
     rest = scored.select("artifact", *by_parent, "n", "sum_r").join(unseen, by_parent).groupBy("artifact", *by_parent).agg(F.sum(counted(F.col("h_count"))).alias("rest_count"), F.sum(counted(F.col("h_expected"))).alias("rest_expected"))
     ref = F.coalesce("own_ref", zero) + (F.col("mean_ref") if p.propagate else F.lit(0.0))
     full = scored.join(rest, ["artifact", *by_parent], "left").withColumns({"gcnt": F.col("live_count") + F.coalesce("rest_count", zero), "expected": F.col("live_expected") + F.coalesce("rest_expected", F.lit(0.0))})
@@ -166,6 +179,35 @@ def dir_level(matched: DataFrame, tree: DataFrame, index: Index, p: Params, leve
         "score", norm.alias("norm"), ref.cast("double").alias("ref"), *[f"g_{t}" for t in COUNTED], F.lit(level).alias("level"))
 
 
+def descend(tops: DataFrame, tree: DataFrame, index: Index, p: Params) -> DataFrame:
+    """(artifact, top_id, node_type, node_id, below): the matched nodes under each (artifact, node_type, node_id) of ``tops``.
+
+    The way down is that of the score: children in the tree that no rule leaves out. ``below`` counts the levels from 0, the top
+    itself. Levels follow each other till none is left; their number is the depth of the paths.
+    """
+    kids, per_parent = _unseen(index, p)
+    current = tops.select("artifact", F.col("node_id").alias("top_id"), "node_type", "node_id", F.lit(0).alias("below")).distinct()
+    out, level = current, 0
+    while level < p.max_levels:
+        level += 1
+        at = current.select("artifact", "top_id", F.col("node_type").alias("parent_type"), F.col("node_id").alias("parent_id"))
+        parents = at.drop("top_id").distinct().join(per_parent, ["parent_type", "parent_id"])
+        live = _seen(parents, tree, kids, p).where(~F.col("out")).select("artifact", "parent_type", "parent_id", F.col("child_type").alias("node_type"), F.col("child_id").alias("node_id"))
+        current = materialize(at.join(live, ["artifact", "parent_type", "parent_id"]).select("artifact", "top_id", "node_type", "node_id", F.lit(level).alias("below")).distinct(), "below")
+        if current.isEmpty():
+            break
+        out = out.unionByName(current)
+    return out
+
+
+def matched_leaves(below: DataFrame, query: DataFrame, index: Index, p: Params) -> DataFrame:
+    """(artifact, top_id, child_type, child_id): the artifact's features in the matched files under each top."""
+    files = below.where("node_type = 'file'").select("artifact", "top_id", F.col("node_id").alias("parent_id")).distinct()
+    leaves = index.weighted.where((F.col("parent_type") == "file") & F.col("child_type").isin(*p.leaf_types) & (F.col("refcnt") <= p.popular))
+    wanted = query.select("artifact", "child_type", "child_id").distinct()
+    return leaves.join(wanted, ["child_type", "child_id"]).join(files, ["artifact", "parent_id"]).select("artifact", "top_id", "child_type", "child_id").distinct()
+
+
 def search(query: DataFrame, index: Index, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(tree, roots): every scored node, the latest level's score where one is met twice, and the accepted roots.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from sedimark.functions.hashing import hamming
 from sedimark.functions.scalar import is_version_feature, license_family
 from sedimark.operators.components import connected_components
 
@@ -49,3 +51,33 @@ def verdict(license_name: Column, overlap: Column, least: float = 0.5) -> Column
     """violation for gpl, and for lgpl whose classes aren't kept; compliant for lgpl that keeps them; else none."""
     family = license_family(license_name)
     return F.when(family == "gpl", "violation").when((family == "lgpl") & (overlap >= least), "compliant").when(family == "lgpl", "violation").otherwise("none")
+
+
+def collapse_branches(branches: DataFrame, catalogue: DataFrame, by: list[str], branch: str, name: str, score: str, n: int = 5) -> DataFrame:
+    """One row for each name that an artifact's branches belong to: the best score, its best ``n`` versions by falling score, and the licences of all.
+
+    ``catalogue`` has name, version and licence of each branch; a branch that it doesn't know goes by its own id.
+    """
+    known = branches.join(catalogue, branch, "left").withColumn(name, F.coalesce(name, branch))
+    rank = F.row_number().over(Window.partitionBy(*by, name).orderBy(F.col(score).desc(), F.col(branch)))
+    top = known.withColumn("_rank", rank)
+    kept = F.array_sort(F.collect_list(F.when(F.col("_rank") <= n, F.struct("_rank", "version"))))
+    return top.groupBy(*by, name).agg(
+        F.max(score).alias(score), F.count("*").alias("n_branches"), F.array_join(F.transform(kept, lambda x: F.coalesce(x["version"], F.lit("?"))), ",").alias("versions"),
+        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
+
+
+def pairs_within(rows: DataFrame, by: list[str], unit: str, value: str, most: int = 5) -> DataFrame:
+    """(by, a, b): units of one group of which two values differ in ``most`` bits at most. A unit may have several values.
+
+    Units with equal values are chained to the least of them, not paired.
+    """
+    values = rows.select(*by, unit, value).distinct()
+    least = values.groupBy(*by, value).agg(F.min(unit).alias("a"))
+    same = values.join(least, [*by, value]).where(F.col(unit) != F.col("a")).select(*by, "a", F.col(unit).alias("b"))
+    chunks = most + 1
+    edges = [64 * i // chunks for i in range(chunks + 1)]
+    parts = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(value, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("c")) for i in range(chunks)]
+    cut = least.select(*by, "a", F.col(value).alias("x"), F.explode(F.array(*parts)).alias("k")).select(*by, "a", "x", "k.*")
+    near = cut.join(cut.withColumnsRenamed({"a": "b", "x": "y"}), [*by, "i", "c"]).where((F.col("x") < F.col("y")) & (hamming(F.col("x"), F.col("y")) <= most) & (F.col("a") != F.col("b")))
+    return same.unionByName(near.select(*by, "a", "b")).select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

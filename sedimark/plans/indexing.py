@@ -146,14 +146,9 @@ def sample_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q("SELECT s_suppkey, ntile(4) OVER (ORDER BY md5(s_suppkey::VARCHAR), s_suppkey) AS shard FROM supplier")
 def shard_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list dealt into four equal shares in a shuffled order.
-
-    The n-th row's share needs its global place; ids of a list of inputs are few, so one window is fit here.
-    """
-    from pyspark.sql.window import Window
-
-    w = Window.orderBy(F.md5(col("s_suppkey").cast("string")), "s_suppkey")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.ntile(4).over(w).cast("long").alias("shard"))
+    """A list dealt into four equal shares in a shuffled order."""
+    ids = table(spark, sf_dir, "supplier").select("s_suppkey", F.md5(col("s_suppkey").cast("string")).alias("m"))
+    return I.dealt(ids, ["m", "s_suppkey"], 4, "shard").select("s_suppkey", "shard")
 
 
 @q("SELECT event_id, user_id FROM events e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_type = 'error' AND f.value > 60)")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SECTIONS: tuple[str, ...] = ("scalars", "indexing", "matching", "reporting", "streams")
+SECTIONS: tuple[str, ...] = ("scalars", "indexing", "matching", "reporting", "drivers", "streams")
 
 
 def _all(what: str) -> dict:

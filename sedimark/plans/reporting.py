@@ -73,7 +73,11 @@ def centroid_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@q()
+@q("WITH RECURSIVE li AS (SELECT l_orderkey AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS b, l_partkey AS p, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), "
+   "k AS (SELECT *, (2 * b <= n)::INT + (2 * b + 1 <= n)::INT AS s, p % 7 AS st, md5(p::VARCHAR) AS d FROM li), "
+   "r AS (SELECT *, row_number() OVER (PARTITION BY m, b // 2 ORDER BY s DESC, st DESC, d DESC, b DESC) AS o FROM k), "
+   "t AS (SELECT m, b, '' AS path FROM r WHERE b = 1 UNION ALL SELECT r.m, r.b, t.path || r.o::VARCHAR FROM t JOIN r ON r.m = t.m AND r.b // 2 = t.b AND r.b > 1) "
+   "SELECT m AS method, b::INT AS block, (row_number() OVER (PARTITION BY m ORDER BY path))::INT AS seq FROM t")
 def bb_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of the blocks of orders taken as methods: block k leads to 2k and 2k + 1."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("k"))  # an order's lines are few
@@ -190,11 +194,12 @@ def app_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.group_ids(m.select(col("l_suppkey").alias("node")), pairs, "node")
 
 
-@q()
+@q(f"WITH RECURSIVE {_SIMHASH_SQL}, l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM simhash a JOIN simhash b ON a.doc_id <> b.doc_id WHERE bit_count(xor(a.v, b.v)::UBIGINT) <= 5), "
+   "r AS (SELECT doc_id AS node, doc_id AS g FROM simhash UNION SELECT l.b, r.g FROM r JOIN l ON l.a = r.node) SELECT node AS doc_id, min(g) AS \"group\" FROM r GROUP BY 1")
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files grouped by SimHash distance of at most five bits, chained."""
+    """Files grouped by SimHash distance of at most five bits, chained; equal values are linked once, not in pairs."""
     s = H.simhash(features(spark, sf_dir), ["doc_id"], "token")
-    return V.group_ids(s.select("doc_id"), H.hamming_join(s, s, "doc_id", "doc_id").where("a < b"), "doc_id")
+    return V.group_ids(s.select("doc_id"), V.pairs_within(s, [], "doc_id", "simhash"), "doc_id")
 
 
 @q(f"WITH {TOKENS_SQL} SELECT artifact, source, count(DISTINCT token) AS n_leaves, md5(string_agg(DISTINCT token, ',' ORDER BY token)) AS leaves FROM (SELECT DISTINCT item_id AS artifact, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS token FROM benchmark) JOIN (SELECT DISTINCT source, token FROM feat) USING (token) GROUP BY 1, 2".replace("{{", "{").replace("}}", "}"))

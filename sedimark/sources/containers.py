@@ -17,7 +17,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # First bytes of formats.
@@ -140,3 +140,10 @@ def binary_features(files: DataFrame, id_col: str, content_col: str) -> DataFram
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows))), pa.array([k for k, _ in rows]), pa.array([v for _, v in rows])], ["id", "kind", "value"])
 
     return files.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{content_col}`").alias("content")).mapInArrow(run, f"id {id_type}, kind string, value string")
+
+
+def is_arm_library(head: Column) -> Column:
+    """Whether a file's first bytes are those of a 32-bit ARM shared object, of either byte order."""
+    hexed = F.hex(head)
+    small = hexed.rlike("^7F454C46" + "01" + "01.{20}" + "0300" + "2800")
+    return F.coalesce(small | hexed.rlike("^7F454C46" + "01" + "02.{20}" + "0003" + "0028"), F.lit(False))
