@@ -9,6 +9,7 @@ library's default.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -36,7 +37,10 @@ class ByteBpe:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._encoding = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._special = {"<|endoftext|>": 50256} if special is None else special
+        if special is None:
+            with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+                special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self._special = special
         self._split = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
         self._cache: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}

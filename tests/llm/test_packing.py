@@ -4,6 +4,7 @@ from array import array
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,6 +30,13 @@ def test_ids_are_the_library_s(library):
             assert mine.encode(text) == array("I", want.ids).tobytes()
 
 
+def test_ids_of_the_whole_table(library):
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    mine = ByteBpe()
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert mine.encode(text) == array("I", want.ids).tobytes()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=300), st.integers(2, 12))
 def test_plan_holds_each_piece_once(lengths, groups):
