@@ -23,7 +23,14 @@ FILE_KINDS = {
 # Package prefixes of framework classes, primitive types, methods every object has.
 FRAMEWORK_PREFIXES = ("java", "javax", "org.w3c", "org.xml", "org.omg", "org.ietf", "org.apache", "org.json", "android", "junit")
 PRIMITIVES = ("boolean", "byte", "char", "short", "int", "long", "float", "double", "void")
+# The blank before getClass belongs to the value: no method has that name, so getClass counts as the application's own.
 OBJECT_METHODS = ("clone", "equals", "finalize", " getClass", "hashCode", "notify", "notifyAll", "toString", "wait", "<init>", "<clinit>")
+# Literals of C source (quoted in ones, raw ones with their mark, quoted in twos), lines that hold none, and the head of a
+# function's definition: what comes before it, return type, scope, name, parameters, attributes, brace; and words that are no names.
+LITERALS = r"""'[^'\\]*(?:\\.[^'\\]*)*'|R"([^"(]*)\((.*?)\)\1"|"([^"\\]*(?:\\.[^"\\]*)*)\""""
+INCLUDE_LINE, COMMENT_LINE = r'#\s*include\s*(?:<[^>]*>|"[^"]*")', r"/\*.*?\*/|^\s*\*\s.*$"
+FUNCTION_HEAD = r"(?:^|;|\};?|public:|private:)\s*(\w[\w\s,<>\[\].&:*]*)\s+(?:\*|[*|\w][\w<>*\[\]&]*::)?(\w+)\s*\(([\w\s,<>\[\].=&':/*]*)\)\s*[\w\s]*\{"
+NO_FUNCTIONS = ("if", "while", "do", "for", "switch")
 # What parts a tag, a group of digits, what may stand between groups, and what bounds a version in a banner.
 TAG_PARTS, DIGIT_GROUP, BETWEEN, BEFORE, AFTER = r"[,.\-_/|\\]", r"(\d+[a-zA-Z]*)", r"[.\-_]", r"(^|v|[^,:.\w])", r"($|[^,:.\w])"
 # Signs of unfinished releases, names of unwanted repositories, words in hosts of open source.
@@ -97,22 +104,28 @@ def function_parts(bare: Column, full: Column) -> tuple[Column, Column]:
 
 
 def string_literals(text: Column) -> Column:
-    """Double-quoted and raw literals of C source, line by line; lines of includes and comments are passed over."""
-    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r'^\s*#\s*include\s*[<"]') & ~x.rlike(r"/\*.*?\*/|^\s*\*\s.*$|^\s*//"))
-    quoted = F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r'"([^"\\]*(?:\\.[^"\\]*)*)"'), F.lit(1)))
-    return F.filter(F.flatten(quoted), lambda x: x != "")
+    """Double-quoted and raw literals of C source, line by line; lines with includes and closed comments are passed over, and so are empty literals."""
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(INCLUDE_LINE) & ~x.rlike(COMMENT_LINE))
+    found = lambda x, group: F.regexp_extract_all(x, F.lit(LITERALS), F.lit(group))
+    each = F.transform(lines, lambda x: F.zip_with(found(x, 2), found(x, 3), lambda raw, plain: F.concat(raw, plain)))  # one of them is empty
+    return F.filter(F.flatten(each), lambda x: x != "")
 
 
 def function_names(text: Column, exported_only: bool = True) -> Column:
-    """Names of functions defined in C source. One definition head: return type, optional scope, name, parameters, brace."""
-    head = r"(?m)^\s*([A-Za-z_][\w ,<>\[\].&:*]*?)[\s*&]+(?:[\w<>]+::)?([A-Za-z_]\w*)\s*\(([\w\s,<>\[\].=&:/*]*)\)[\w\s]*\{"
-    names = F.regexp_extract_all(text, F.lit(head), F.lit(2))
-    kinds = F.regexp_extract_all(text, F.lit(head), F.lit(1))
-    pairs = F.arrays_zip(names.alias("n"), kinds.alias("k"))
-    fit = F.filter(pairs, lambda p: ~p["n"].isin("if", "while", "do", "for", "switch") & (F.lit(not exported_only) | ~p["k"].contains("static")))
+    """Names of functions defined in C source; with ``exported_only`` not those whose return type says static.
+
+    A definition begins with the text, or after a statement, a block or a visibility mark, on whatever line.
+    """
+    names, kinds = (F.regexp_extract_all(text, F.lit(FUNCTION_HEAD), F.lit(k)) for k in (2, 1))
+    fit = F.filter(F.arrays_zip(names.alias("n"), kinds.alias("k")), lambda p: ~p["n"].isin(*NO_FUNCTIONS) & (F.lit(not exported_only) | ~p["k"].contains("static")))
     return F.transform(fit, lambda p: p["n"])
 
 
+def centroid_text(plain: Sequence[Column], invoking: Sequence[Column], prefix: str = "centroids") -> Column:
+    """A centroid as text: its places with four decimals and its weight, and the same with invocations weighed in."""
+    return F.concat(F.lit(prefix), *[F.format_string("(%.4f,%.4f,%.4f,%d)", *(c.cast("double") for c in part[:3]), part[3].cast("long")) for part in (plain, invoking)])
+
+
 def parsed_record(record: Column, flags: int) -> dict[str, Column]:
     """Fields of a parser's record ``type:[group:][export:][four places:]feature``; ``flags``: 1 group, 2 export, 4 places."""
     names = ["type"] + ["grp"] * bool(flags & 1) + ["export_type"] * bool(flags & 2) + ["start_row", "start_col", "end_row", "end_col"] * bool(flags & 4)

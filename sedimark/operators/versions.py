@@ -17,15 +17,33 @@ def version_matches(unique: DataFrame, query: DataFrame, software: str, version:
     return query.join(unique.join(several, software, "left_semi"), feature).groupBy("artifact", software, version).agg(F.count_distinct(feature).alias("matched"))
 
 
-def colocated(index: DataFrame, query: DataFrame, feature: str, file: str, unit: str, least: float = 0.7) -> DataFrame:
-    """(unit, file, shared, ratio): query units and index files whose features overlap by Jaccard over ``least``."""
+def colocated(index: DataFrame, query: DataFrame, feature: str, file: str, unit: str, least: float = 0.7, weights: DataFrame | None = None) -> DataFrame:
+    """(unit, file, shared, ratio): query units and index files whose features overlap by Jaccard over ``least``.
+
+    With ``weights`` (feature, weight), shared and all features count by their weight; a feature without one counts 1.
+    """
     i, q = index.select(feature, file).distinct(), query.select(feature, unit).distinct()
-    ni, nq = i.groupBy(file).agg(F.count("*").alias("_ni")), q.groupBy(unit).agg(F.count("*").alias("_nq"))
-    both = q.join(i, feature).groupBy(unit, file).agg(F.count("*").alias("shared"))
-    ratio = F.col("shared") / (F.col("_ni") + F.col("_nq") - F.col("shared"))
+    if weights is None:
+        i, q = i.withColumn("_w", F.lit(1.0)), q.withColumn("_w", F.lit(1.0))
+    else:
+        w = weights.select(feature, F.col("weight").alias("_w"))
+        i, q = (x.join(w, feature, "left").withColumn("_w", F.coalesce("_w", F.lit(1.0))) for x in (i, q))
+    ni, nq = i.groupBy(file).agg(F.sum("_w").alias("_ni")), q.groupBy(unit).agg(F.sum("_w").alias("_nq"))
+    both = q.join(i.drop("_w"), feature).groupBy(unit, file).agg(F.count("*").alias("shared"), F.sum("_w").alias("_nb"))
+    ratio = F.col("_nb") / (F.col("_ni") + F.col("_nq") - F.col("_nb"))
     return both.join(ni, file).join(nq, unit).withColumn("ratio", ratio).where(F.col("ratio") > least).select(unit, file, "shared", "ratio")
 
 
+def colocated_matches(matches: DataFrame, pairs: DataFrame, feature_units: DataFrame, feature_files: DataFrame, feature: str, file: str, unit: str, strict: bool = False) -> DataFrame:
+    """``matches`` (with ``feature``) and whether a co-located pair of a unit and a file has the feature on both sides; only those if ``strict``.
+
+    The default keeps all, as scores are taken over the unfiltered matches.
+    """
+    sure = pairs.select(unit, file).join(feature_units.select(feature, unit).distinct(), unit).join(feature_files.select(feature, file).distinct(), [feature, file]).select(feature).distinct()
+    out = matches.join(sure.withColumn("colocated", F.lit(True)), feature, "left").withColumn("colocated", F.coalesce("colocated", F.lit(False)))
+    return out.where("colocated") if strict else out
+
+
 def version_scores(matches: DataFrame, by: list[str], tag: str, plain: str, tag_only: str) -> DataFrame:
     """Credit of each version: 100 for a feature whose text holds the version, 41 if only the tag found it, else 1."""
     good = is_version_feature(F.col(tag), F.col(plain))

@@ -9,7 +9,8 @@ from sedimark.functions import hashing as H
 from sedimark.functions import scalar as S
 from sedimark.operators import index as I
 from sedimark.plans.base import TOKENS_SQL, Section
-from sedimark.session import materialize, once, table
+from sedimark.session import materialize, new_path, once, table
+from sedimark.sources import files
 
 section = Section()
 q = section.add
@@ -74,10 +75,10 @@ def src_file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q("SELECT page_id, url AS input_path FROM pages")
 def csv_alias_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list whose path column goes by one of several names: the first known one counts."""
-    pages = table(spark, sf_dir, "pages")
-    known = next(c for c in ("store_path", "so_path", "filepath", "input_path", "path", "url") if c in pages.columns)
-    return pages.select("page_id", col(known).alias("input_path"))
+    """A CSV list whose path column goes by one of several names: the first known one counts."""
+    path = f"{new_path(spark, 'list')}/pages.csv"
+    files.write_dump(table(spark, sf_dir, "pages").select("page_id", col("url").alias("input_path"), col("url").alias("other")), path)
+    return files.read_artifact_list(spark, path, ["page_id"]).select(col("page_id").cast("long").alias("page_id"), "input_path")
 
 
 @q("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

@@ -51,17 +51,18 @@ section.expressions(
 )
 
 _SOURCE = ["c_custkey", (
-    "concat('#include \"', c_name, '.h\"', chr(10), '// comment \"no\"', chr(10), 'static int helper_', cast(c_custkey AS string), '(int a) {', chr(10), "
+    "concat('#include \"', c_name, '.h\"', chr(10), '// kept \"yes\"', chr(10), '/* not \"kept\" */', chr(10), 'static int first_', cast(c_custkey AS string), '(int a) {', chr(10), "
     "'  if (a) { log(\"', c_mktsegment, ' error: %d\", a); }', chr(10), '}', chr(10), 'int ', c_mktsegment, '::run_', cast(c_custkey % 50 AS string), '(const char* p) {', chr(10), "
-    "'  puts(\"', c_name, '\"); puts(\"\");', chr(10), '}', chr(10)) AS src")]
+    "'  puts(\"', c_name, '\"); puts(\"\"); return R\"x(raw ', c_mktsegment, ')x\";', chr(10), '} void next_', cast(c_custkey % 7 AS string), '(char c) const { put(', chr(39), 'q', chr(39), '); x = 1; static int own(void) { } }', chr(10)) AS src")]
 section.expressions(
     "regex_strings", "customer", _SOURCE, lambda: ["c_custkey", F.explode(S.string_literals(col("src"))).alias("literal")],
-    "SELECT c_custkey, literal FROM (SELECT c_custkey, unnest(regexp_extract_all(line, '\"([^\"\\\\]*(?:\\\\.[^\"\\\\]*)*)\"', 1)) AS literal FROM "
-    "(SELECT c_custkey, unnest(string_split(src, chr(10))) AS line FROM {input}) WHERE NOT regexp_matches(line, '^\\s*#\\s*include') AND NOT regexp_matches(line, '/\\*.*?\\*/|^\\s*\\*\\s.*$|^\\s*//')) WHERE literal <> ''",
+    """SELECT c_custkey, literal FROM (SELECT c_custkey, unnest(list_transform(regexp_extract_all(line, '\\x27[^\\x27]*\\x27|R"x\\(.*?\\)x"|"[^"]*"'), """
+    """lambda m: CASE WHEN m[1] = 'R' THEN m[5:-4] WHEN m[1] = '"' THEN m[2:-2] ELSE '' END)) AS literal FROM """
+    """(SELECT c_custkey, unnest(string_split(src, chr(10))) AS line FROM {input}) WHERE NOT starts_with(line, '#include') AND NOT starts_with(line, '/*')) WHERE literal <> ''""",
 )
 section.expressions(
     "regex_functions", "customer", _SOURCE, lambda: ["c_custkey", F.explode(S.function_names(col("src"))).alias("function")],
-    "SELECT c_custkey, concat('run_', cast(c_custkey % 50 AS VARCHAR)) AS function FROM {input}",
+    "SELECT c_custkey, concat('run_', cast(c_custkey % 50 AS VARCHAR)) AS function FROM {input} UNION ALL SELECT c_custkey, concat('next_', cast(c_custkey % 7 AS VARCHAR)) FROM {input}",
 )
 section.expressions(
     "parse_feature_record", "orders", ["o_orderkey", (
@@ -122,12 +123,12 @@ def class_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*_PAIR).groupBy("class1", "class2", "relation").agg(F.count("*").alias("n"))
 
 
-@section.add("SELECT vec_id, printf('%.4f,%.4f,%.4f', embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE) || ',' || label::VARCHAR AS centroid FROM embeddings")
+@section.add("SELECT vec_id, 'centroids' || printf('(%.4f,%.4f,%.4f,', embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE) || label::VARCHAR || ')' || printf('(%.4f,%.4f,%.4f,', embedding[4]::DOUBLE, embedding[5]::DOUBLE, embedding[6]::DOUBLE) || (label + 1)::VARCHAR || ')' AS centroid FROM embeddings")
 def centroid_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A centroid as text: three places with four decimals, and the weight."""
+    """A centroid as text, with and without invocations."""
     e = table(spark, sf_dir, "embeddings")
-    parts = [col("embedding")[i].cast("double") for i in range(3)]
-    return e.select("vec_id", F.format_string("%.4f,%.4f,%.4f,%d", *parts, "label").alias("centroid"))
+    places = [col("embedding")[i] for i in range(6)]
+    return e.select("vec_id", S.centroid_text([*places[:3], col("label")], [*places[3:], col("label") + 1]).alias("centroid"))
 
 
 section.expressions(

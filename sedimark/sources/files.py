@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ def list_files(spark: SparkSession, folder: str, prefix: str = "", suffix: str =
     return files.where(fold(name).startswith(low(prefix)) & fold(name).endswith(low(suffix)))
 
 
+def source_files(files: DataFrame, wanted: Callable[[Column], Column], path: str = "path") -> DataFrame:
+    """Regular files whose path a predicate wants; hidden files and folders are none of a source tree's."""
+    return files.where(wanted(F.col(path)) & ~F.col(path).rlike(r"(^|/)\.[^/.]"))
+
+
 def last_by_name(files: DataFrame, path: str = "path") -> DataFrame:
     """One path for each base name, the last in order."""
     return files.groupBy(basename(F.col(path)).alias("name")).agg(F.max(path).alias(path))
@@ -35,11 +40,11 @@ def any_column(df: DataFrame, names: Sequence[str]) -> Column:
     raise ValueError(f"none of {list(names)} in {df.columns}")
 
 
-def read_artifact_list(spark: SparkSession, path: str) -> DataFrame:
-    """input_path of every artifact: of a CSV with a known column, of a plain list, or the files of a folder, or the file itself."""
+def read_artifact_list(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> DataFrame:
+    """input_path of every artifact: of a CSV with a known column (and its columns ``keep``), of a plain list, or the files of a folder, or the file itself."""
     if path.endswith(".csv"):
         table = spark.read.option("header", "true").csv(path)
-        return table.select(any_column(table, PATH_NAMES).alias("input_path"))
+        return table.select(*keep, any_column(table, PATH_NAMES).alias("input_path"))
     if path.endswith((".txt", ".list")):
         return spark.read.text(path).select(F.trim("value").alias("input_path")).where(F.col("input_path") != "")
     return list_files(spark, path).select(F.col("path").alias("input_path"))

@@ -260,3 +260,74 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.isEmpty() and stream.count() > 0.9 * batch.count()
     again = E.run_to_table(E.deduplicated(E.read_events(spark, sf), ["event_id"]).select("event_id"), str(tmp_path / "d"))
     assert again.count() == 1000
+
+
+def test_literals_and_functions_of_source(spark):
+    source = '''#include "no.h"
+// kept "a\\"b" and 'c' '"' "d"
+/* no "x" */
+ * no "y"
+u8"e" R"(f "g")" R"zz(h)" )zz" ""
+static int one(int a) { if (a) { return 1; } }
+int N::two(char *p, const T &q) const
+{ for (;;) { } } unsigned long *three() { while (1) { } }
+class K { public: K() { } public: void four(int a='b') { } };'''
+    df = spark.createDataFrame([(source,), ("int first(void) {}",), (None,), ("",)], "s string")
+    got = [(r.l, r.f, r.a) for r in df.select(S.string_literals(df.s).alias("l"), S.function_names(df.s).alias("f"), S.function_names(df.s, False).alias("a")).collect()]
+    assert got[0][0] == ['a\\"b', "d", "e", 'f "g"', 'h)" ']
+    assert got[0][1] == ["two", "three", "four"] and got[1] == ([], ["first"], ["first"]) and got[2] == (None, None, None) and got[3] == ([], [], [])
+
+
+def test_colocation_by_weight_and_strictly(spark):
+    index_ = spark.createDataFrame([(f, "x") for f in "abcd"] + [(f, "y") for f in "aef"], "feature string, file string")
+    query = spark.createDataFrame([(f, "u") for f in "abcz"], "feature string, unit string")
+    plain = {(r.unit, r.file, r.shared, round(r.ratio, 6)) for r in V.colocated(index_, query, "feature", "file", "unit", 0.1).collect()}
+    assert plain == {("u", "x", 3, 0.6), ("u", "y", 1, round(1 / 6, 6))}
+    weights = spark.createDataFrame([("a", 0.1), ("z", 0.0), ("d", 0.4)], "feature string, weight double")
+    weighted = {(r.file, round(r.ratio, 6)) for r in V.colocated(index_, query, "feature", "file", "unit", 0.05, weights).collect()}
+    assert weighted == {("x", round(2.1 / 2.5, 6))}
+    pairs = V.colocated(index_, query, "feature", "file", "unit", 0.5)
+    found = spark.createDataFrame([("a",), ("e",), ("d",)], "feature string")
+    assert {(r.feature, r.colocated) for r in V.colocated_matches(found, pairs, query, index_, "feature", "file", "unit").collect()} == {("a", True), ("e", False), ("d", False)}
+    assert [r.feature for r in V.colocated_matches(found, pairs, query, index_, "feature", "file", "unit", True).collect()] == ["a"]
+
+
+def test_pairs_within_groups(spark):
+    rows = [("p", "a", 0), ("p", "b", 0), ("p", "c", 31), ("p", "d", 1 << 40), ("p", "d", 3), ("q", "a", 0), ("q", "e", 7)]
+    df = spark.createDataFrame(rows, "g string, u string, v long")
+    got = {(r.g, r.a, r.b) for r in V.pairs_within(df, ["g"], "u", "v", 5).collect()}
+    near = {(g, min(a, b), max(a, b)) for g, a, x in rows for h, b, y in rows if g == h and a < b and bin(x ^ y).count("1") <= 5}
+    assert got <= near
+    for g in "pq":  # what chains is the same
+        assert_same_chains({(a, b) for h, a, b in got if h == g}, {(a, b) for h, a, b in near if h == g})
+
+
+def assert_same_chains(one, other):
+    def classes(pairs):
+        groups = [{x} for p in pairs for x in p]
+        for p in pairs:
+            hit = [g for g in groups if g & set(p)]
+            groups = [g for g in groups if not g & set(p)] + [set.union(*hit)]
+        return {frozenset(g) for g in groups}
+
+    assert classes(one) == classes(other)
+
+
+def test_shares_of_a_list(spark):
+    for n, shares in ((0, 3), (2, 4), (10, 4), (101, 7)):
+        rows = spark.range(n).repartition(3)
+        got = sorted((r.id, r.share) for r in index.dealt(rows, ["id"], shares, "share").collect())
+        want, at = [], 0
+        for k in range(shares):
+            size = n // shares + (k < n % shares)
+            want += [(i, k + 1) for i in range(at, at + size)]
+            at += size
+        assert got == want
+
+
+def test_arm_libraries(spark):
+    head = lambda bits, order, kind, machine: b"\x7fELF" + bytes([bits, order, 1]) + b"\0" * 9 + kind.to_bytes(2, order_of(order)) + machine.to_bytes(2, order_of(order))
+    order_of = lambda o: "little" if o == 1 else "big"
+    cases = [(head(1, 1, 3, 40), True), (head(1, 2, 3, 40), True), (head(2, 1, 3, 40), False), (head(1, 1, 2, 40), False), (head(1, 1, 3, 3), False), (b"\x7fELF", False), (b"", False), (None, False)]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, head binary")
+    assert [r.fit for r in df.select("i", containers.is_arm_library(df["head"]).alias("fit")).orderBy("i").collect()] == [fit for _, fit in cases]
