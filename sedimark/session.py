@@ -15,6 +15,8 @@ LOCAL_SHARED_DIR = "file:///tmp/sedimark-shared"
 #: Folders of this application that still have to go, and those of them that all its queries share.
 _written: dict[str, SparkSession] = {}
 _lasting: set[str] = set()
+#: Catalogue entries of bucketed tables, by folder.
+_names: dict[str, str] = {}
 _built: dict[tuple, object] = {}
 
 
@@ -62,6 +64,7 @@ def bucketed(df: DataFrame, tag: str, by: list[str]) -> DataFrame:
     path, buckets = new_path(spark, tag), int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"sedimark_{uuid.uuid4().hex}"
     df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    _names[path] = name
     out = spark.table(name)
     out._materialized_at = path
     return out
@@ -101,6 +104,8 @@ def stage(*last: DataFrame) -> Iterator[list[DataFrame]]:
 
 def _discard(path: str) -> None:
     spark = _written.pop(path)
+    if path in _names:
+        spark.sql(f"DROP TABLE IF EXISTS {_names.pop(path)}")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -55,3 +55,31 @@ def test_cleaning_goes_on_after_an_error(spark):
     session._clean()
     assert not files(good) and not session._written
     session._written.update({k: v for k, v in written.items() if k != good._materialized_at})
+
+
+def test_buckets_save_the_shuffle(spark):
+    rows = spark.range(1000).selectExpr("id % 50 AS k", "id AS v")
+    a, b = session.bucketed(rows, "a", ["k"]), session.bucketed(rows.distinct(), "b", ["k"])
+    joined = a.join(b.hint("merge"), "k").groupBy("k").count()
+    assert joined.count() == 50
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    name = session._names[a._materialized_at]
+    session.release(a)
+    assert not spark.catalog.tableExists(name) and not files(a)
+
+
+def test_built_once_for_each_state_of_a_table(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(session.materialize(spark.range(len(made) + 1)))
+        return made[-1]
+
+    spark.range(5).write.parquet(f"{tmp_path}/t.parquet")
+    with session.stage():
+        first = session.once(spark, str(tmp_path), "t", "x", build)
+    assert session.once(spark, str(tmp_path), "t", "x", build) is first and first.count() == 1  # it outlives the stage
+    spark.range(9).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert session.once(spark, str(tmp_path), "t", "x", build).count() == 2
+    assert session.once(spark, str(tmp_path), "t", "y", build).count() == 3
