@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.words import bounded, gram_hashes, hashed_words, mix64
+from sedimark.llm.words import SEGMENT, bounded, gram_hashes, hashed_words, mix64
 from sedimark.operators.components import connected_components
 from sedimark.operators.skew import lookup
-from sedimark.session import materialize, release
+from sedimark.session import materialize, release, small_batches
 
 #: Characters of text in one block of a large group, in the mean; a task holds two blocks.
 BLOCK_CHARS = 4_000_000
@@ -55,6 +55,11 @@ def band_plan(threshold: float, recall: float, most_hashes: int = MOST_HASHES) -
 
 def gram_sets(arr: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each row's word n-grams; a row of 1 to n - 1 words is one gram, one without words none."""
+    pieces = bounded(iter([pa.RecordBatch.from_arrays([arr], ["text"])]), "text", SEGMENT)
+    return [s for piece in pieces for s in _gram_sets(piece.column(0), n)]
+
+
+def _gram_sets(arr: pa.Array, n: int) -> list[np.ndarray]:
     words, rows = hashed_words(arr)
     grams = gram_hashes(words, tuple(range(n)))
     out = []
@@ -182,7 +187,8 @@ def verify_block(block_rows: pa.Table, n: int, threshold: float) -> pa.Table:
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, n: int, recall: float) -> DataFrame:
     """doc_id, mark, class_id, copy_id, n_links for every row."""
     bands, rows = band_plan(threshold, recall)
-    signed = materialize(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
+    with small_batches(docs.sparkSession):
+        signed = materialize(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
     copies = signed.groupBy("key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("rep"), F.count("*").alias("copies"),
         F.max("chars").alias("chars"), F.first("bands").alias("bands"),
@@ -198,8 +204,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, n: i
     full = full.withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     tasks = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "unit", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "copies", "block", "band", "bands", "text")
-    verified = materialize(
-        tasks.groupBy("unit", "lo", "hi").applyInArrow(lambda f: verify_block(f, n, threshold), "key string, leader string, links long"), "links")
+    with small_batches(docs.sparkSession):
+        verified = materialize(
+            tasks.groupBy("unit", "lo", "hi").applyInArrow(lambda f: verify_block(f, n, threshold), "key string, leader string, links long"), "links")
     joined = connected_components(verified.select(F.col("key").alias("a"), F.col("leader").alias("b"))).withColumnsRenamed({"node": "key", "component": "root"})
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     known = copies.select("key", "copy_id", "copies").join(joined, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))

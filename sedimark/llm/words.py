@@ -16,7 +16,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 #: Bytes hashed at once; the tables of powers have this many entries unless one word is longer.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

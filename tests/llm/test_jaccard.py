@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -131,3 +132,42 @@ def test_edges(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = spark.createDataFrame([(1, "w " * 50_000), (2, "w " * 50_001)], "doc_id long, text string")
     assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_classes(one).collect()} == {(1, 1, 1), (2, 1, 1)}
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """A task's texts are no single batch where signatures are made and blocks are verified; the session's settings come back."""
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before, at, sizes = [spark.conf.get(k, None) for k in names], {}, []
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 300) AS text")
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def spy(df, tag, real=jaccard.materialize):
+        at[tag] = [spark.conf.get(k, None) for k in names]
+        if tag == "signatures":
+            sizes.extend(r.n for r in docs.mapInArrow(count, "n long").collect())
+        return real(df, tag)
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    jaccard.jaccard_classes(docs)
+    assert sum(sizes) > 4_000_000 and max(sizes) < 1_200_000
+    assert at["links"] == at["signatures"] != before
+    assert [spark.conf.get(k, None) for k in names] == before
+
+
+def test_gram_sets_take_little_beside_their_result():
+    """Two blocks of a large group: 8 MB of text."""
+    rng = random.Random(1)
+    arr = pa.array([" ".join(str(rng.randrange(10**6)) for _ in range(600)) for _ in range(2000)])
+    jaccard.gram_sets(arr[:1], 5)
+    tracemalloc.start()
+    try:
+        sets = jaccard.gram_sets(arr, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert arr.nbytes > 8_000_000 and peak - sum(s.nbytes for s in sets) < 20_000_000
+    one = [jaccard.gram_sets(arr[i : i + 1], 5)[0] for i in range(0, 2000, 97)]
+    assert all((a == b).all() for a, b in zip(one, sets[::97], strict=True))
